@@ -1,6 +1,11 @@
 """Everything registered."""
 
-from tidemark.plans import sync_queries  # noqa: F401
+from tidemark.plans import (  # noqa: F401
+    content_queries,
+    manifest_queries,
+    session_queries,
+    sync_queries,
+)
 from tidemark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
