@@ -4,6 +4,7 @@ from tidemark.plans import (  # noqa: F401
     content_queries,
     manifest_queries,
     session_queries,
+    stream_queries,
     sync_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES

@@ -23,7 +23,10 @@ def digit(position: int, value: Column | None = None) -> Column:
 
 
 def source_documents(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "text")
+    return as_source(table(spark, folder, "documents"))
+
+
+def as_source(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
         F.array("source", "lang", F.col("doc_id").cast("string")).alias("path"),
@@ -36,7 +39,11 @@ def source_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 def offered_documents(spark: SparkSession, folder: str) -> DataFrame:
     """The source with hashes up to a size, as a sender would offer it."""
-    return source_documents(spark, folder).select(
+    return as_offer(source_documents(spark, folder))
+
+
+def as_offer(source: DataFrame) -> DataFrame:
+    return source.select(
         "doc_id",
         "path",
         "size",
@@ -122,7 +129,10 @@ def hash_cache(spark: SparkSession, folder: str) -> DataFrame:
 def event_journal(spark: SparkSession, folder: str) -> DataFrame:
     """Events as a journal per user: a purchase forgets, anything else starts, a large error
     value is a torn record."""
-    events = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value")
+    return as_journal(table(spark, folder, "events"))
+
+
+def as_journal(events: DataFrame) -> DataFrame:
     started = F.col("event_type") != "purchase"
     return events.select(
         "user_id",
