@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidemark.functions.content import compressed_enough, is_already_compressed
 from tidemark.functions.formats import saved_percent
@@ -46,7 +46,7 @@ def sample_compression(df: DataFrame, body_col: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _compressed_size(samples: pd.Series) -> pd.Series:
     import zstandard
 

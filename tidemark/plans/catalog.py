@@ -2,6 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     content_queries,
+    job_queries,
     manifest_queries,
     session_queries,
     stream_queries,
