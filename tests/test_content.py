@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import formats as fm
 from tidemark.operators import compress as co, fingerprint as fi
 from tidemark.schema import RetryPolicy
+from tests.plain import plain_tree
 
 CHUNK = "file_id bigint, offset bigint, data binary"
 
@@ -40,14 +41,6 @@ def test_digests_agree_with_hashlib_joined_or_streamed(spark, bodies):
         assert {r["file_id"]: (r["size"], r["hash"]) for r in got} == expected
 
 
-def plain_tree(body, leaf, fan_out):
-    leaves = [body[i : i + leaf] for i in range(0, max(len(body), 1), leaf)]
-    level = [hashlib.sha256(x).hexdigest() for x in leaves]
-    groups = [level[i : i + fan_out] for i in range(0, len(level), fan_out)]
-    level = [hashlib.sha256("".join(g).encode()).hexdigest() for g in groups]
-    return hashlib.sha256("".join(level).encode()).hexdigest()
-
-
 def test_tree_digest_depends_on_bytes_only(spark, bodies):
     expected = {i: (len(b), plain_tree(b, 64, 16)) for i, b in bodies.items()}
     aligned = spark.createDataFrame(
