@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import formats as fm
 from tidemark.operators import compress as co, fingerprint as fi
+from tidemark.operators.sizes import BroadcastBound
 from tidemark.schema import RetryPolicy
 from tests.plain import plain_tree
 
@@ -110,8 +111,10 @@ def test_bodies_hash_alike_with_and_without_broadcast(spark):
     source = objects(spark)
     wanted = source.filter("path[0] <> 'a'").select("path")
     few = fi.hash_bodies(source.select("path", "body"), wanted)
-    many = fi.hash_bodies(source.select("path", "body"), wanted, broadcast_rows=1)
-    assert few.count() == 2 and few.exceptAll(many).count() == 0
+    for bound in (BroadcastBound(rows=1), BroadcastBound(bytes=10)):
+        many = fi.hash_bodies(source.select("path", "body"), wanted, bound)
+        assert few.exceptAll(many).count() == 0 and many.exceptAll(few).count() == 0
+    assert few.count() == 2
 
 
 def test_only_objects_up_to_the_ceiling_are_hashed(spark):

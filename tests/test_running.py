@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.operators import manifest as man
-from tidemark.operators.running import count_before, max_before, previous, sum_before, with_running
+from tidemark.operators.running import Ordered, count_before, max_before, previous, sum_before, with_running
 
 
 def values():
@@ -51,7 +51,26 @@ def test_blocks_agree_with_brute_force(spark):
         assert {tuple(r) for r in got.select("id", "n", "s", "m", "p").collect()} == expected
 
 
-def test_no_block_is_much_larger_than_asked(spark):
+def test_groups_of_several_columns(spark):
+    df = skewed(spark).withColumn("h", F.when(F.col("id") % 2 == 0, F.array(F.lit("x"))))
+    plain = with_running(df, ["g", "h"], [F.col("id")], values())
+    for rows_per_block in (400, 90):
+        got = with_running(df, ["g", "h"], [F.col("id")], values(), rows_per_block)
+        assert got.exceptAll(plain).count() == 0 and got.count() == 6000
+    by_array = with_running(df, ["h"], [F.col("id")], values(), 300)
+    assert by_array.exceptAll(with_running(df, ["h"], [F.col("id")], values())).count() == 0
+
+
+def test_small_groups_are_not_cut(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 500).alias("g"), F.col("id").alias("v"))
+    assert Ordered.cut(df, ["g"], [F.col("id")], 100).is_cut is None
+    hot = Ordered.cut(skewed(spark), ["g"], [F.col("id")], 200)
+    cut = {r["g"] for r in hot.df.filter("__block >= 0").select("g").distinct().collect()}
+    assert "hot" in cut and len(cut) <= 4
+    assert hot.df.groupBy("g", "__block").count().agg(F.max("count")).first()[0] < 800
+
+
+def test_the_carry_is_broadcast(spark):
     got = with_running(skewed(spark), ["g"], [F.col("id")], {"n": count_before()}, 200)
     plan = got._jdf.queryExecution().toString()
     assert "__block" in plan

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators.sizes import BroadcastBound
 from tidemark.plans import sync
 from tidemark.schema import HASH_CACHE, LimitExceeded, Limits, RetryPolicy, SyncOptions
 from tidemark.sources import stores
@@ -123,16 +124,16 @@ def test_every_way_to_choose_bodies_gives_the_same(spark, tmp_path):
     target = objects(spark, {f"f{i}": f"body {i}" if i % 2 else "changed" for i in range(20)})
     plan = sync.plan_sync(source, target)
     for rows in (100, 0):
-        chosen = sync.chosen_bodies(source, plan.decisions, broadcast_rows=rows)
+        chosen = sync.chosen_bodies(source, plan.decisions, bound=BroadcastBound(rows))
         assert {p[0] for (p,) in chosen.select("path").collect()} == {f"f{i}" for i in range(0, 20, 2)}
-        result = sync.apply_sync(plan, source, target, str(tmp_path / f"d{rows}"), broadcast_rows=rows)
+        result = sync.apply_sync(plan, source, target, str(tmp_path / f"d{rows}"), bound=BroadcastBound(rows))
         assert result.failures.count() == 0
         assert bodies(stores.read_current(spark, str(tmp_path / f"d{rows}"), source.schema)) == bodies(source)
     mostly = objects(spark, {f"f{i}": f"body {i}" for i in range(19)})
     plan = sync.plan_sync(source, mostly)
-    assert sync.chosen_bodies(source, plan.decisions, broadcast_rows=2).count() == 1
+    assert sync.chosen_bodies(source, plan.decisions, bound=BroadcastBound(2)).count() == 1
     fresh = sync.plan_sync(source, mostly.filter("path[0] = 'f1'"))
-    assert sync.chosen_bodies(source, fresh.decisions, broadcast_rows=2).count() == 19
+    assert sync.chosen_bodies(source, fresh.decisions, bound=BroadcastBound(2)).count() == 19
 
 
 def test_the_journal_is_folded_after_a_run(spark, tmp_path):

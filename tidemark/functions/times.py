@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ read as UTC."""
+    """Microseconds since 1970 of a TIMESTAMP_NTZ read as UTC.
+
+    Where the session runs in UTC, a cast does it without decimals.
+    """
+    if SparkSession.active().conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC"):
+        return F.unix_micros(ts.cast("timestamp"))
     gap = ts - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
     return (gap.cast("interval second").cast("decimal(20,6)") * 1000000).cast("bigint")
 

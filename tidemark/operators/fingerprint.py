@@ -11,8 +11,8 @@ from tidemark.functions.content import fingerprint, should_hash
 from tidemark.functions.formats import whole_div
 from tidemark.functions.paths import display_path
 from tidemark.operators.running import max_before, with_running
+from tidemark.operators.sizes import BroadcastBound, fits
 
-BROADCAST_ROWS = 1_000_000
 COLLECT_BYTES = 64 * 1024**2
 LEAF_BYTES = 1024**2
 FAN_OUT = 4_096
@@ -209,16 +209,16 @@ def to_hash(manifest: DataFrame, cache: DataFrame, checksum: bool = False) -> Da
 
 
 def hash_bodies(
-    bodies: DataFrame, wanted: DataFrame, broadcast_rows: int = BROADCAST_ROWS
+    bodies: DataFrame, wanted: DataFrame, bound: BroadcastBound = BroadcastBound()
 ) -> DataFrame:
     """``path, hash`` for the wanted paths, without shuffling a body.
 
-    When the wanted keys are few (counted, not guessed) they are broadcast and only those bodies
-    are hashed. Otherwise every body is hashed where it is scanned and the hash is joined.
+    When the wanted keys are within the bound (measured, not guessed) they are broadcast and only
+    those bodies are hashed. Otherwise every body is hashed where it is scanned and the hash is joined.
     """
     keys = wanted.select("path")
     hashed = fingerprint(F.col("body")).alias("hash")
-    if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if fits(keys, bound):
         return bodies.join(F.broadcast(keys), "path", "left_semi").select("path", hashed)
     return bodies.select("path", hashed).join(keys, "path", "left_semi")
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.formats import whole_div
-from tidemark.operators.running import count_before, max_before, sum_before, with_running
+from tidemark.operators.running import Ordered, count_before, max_before, sum_before
 from tidemark.schema import BUFFER_BYTES
 
 MICROS = 1_000_000
@@ -45,17 +45,14 @@ def pace(
     full = F.lit(rate * MICROS).cast("decimal(38,0)")
     opening = F.lit(min(rate, BUFFER_BYTES) * MICROS).cast("decimal(38,0)")
 
-    taken = with_running(
-        requests.withColumn("__asked", wide(asked)).withColumn("__clock", wide(clock)),
-        key,
-        order,
-        {"__n": count_before(), "__taken": sum_before(F.col("__asked"))},
-        rows_per_block,
+    start = requests.withColumns({"__asked": wide(asked), "__clock": wide(clock)})
+    taken = Ordered.cut(start, key, order, rows_per_block).running(
+        {"__n": count_before(), "__taken": sum_before(F.col("__asked"))}
     )
     spare = F.when(F.col("__n") == 0, opening).otherwise(full)
-    offered = taken.withColumn("__base", wide(F.col("__clock") - wide(F.col("__taken")) - spare))
-    levelled = with_running(
-        offered, key, order, {"__floor": max_before(F.col("__base"))}, rows_per_block
+    base = wide(F.col("__clock") - wide(F.col("__taken")) - spare)
+    levelled = (
+        taken.with_columns({"__base": base}).running({"__floor": max_before(F.col("__base"))}).done()
     )
     short = wide(F.col("__floor") + wide(F.col("__taken")) - F.col("__clock"))
     wait = F.greatest(

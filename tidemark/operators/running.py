@@ -1,13 +1,14 @@
 """Running values over ordered groups, without giving any group to a single task.
 
 A window function sorts a whole group inside one task. That is fine until one group - or the
-one global group of a dense numbering - holds a large share of the rows. ``with_running``
+one global group of a dense numbering - holds a large share of the rows. ``Ordered``
 therefore cuts the order ``(group, order)`` into blocks at sampled boundary keys:
 
-1. every row finds its block by binary search in a literal array of boundaries;
+1. only groups that own several boundaries are cut; a row of such a group finds its block by
+   binary search in a literal array, every other group stays whole in a block of its own;
 2. a window inside (group, block) gives the running value local to the block;
-3. only groups that cross a boundary need a carry. Their per-block sums are at most two rows
-   per boundary, so adding them up and broadcasting them is bounded by the block count.
+3. a group that is cut needs a carry from block to block. There are at most two such rows per
+   boundary, so adding them up and broadcasting them is bounded by the number of blocks.
 
 Any boundaries give the same result; they only decide how evenly the work is spread.
 """
@@ -15,6 +16,7 @@ Any boundaries give the same result; they only decide how evenly the work is spr
 from __future__ import annotations
 
 import json
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -82,111 +84,163 @@ def previous(value: Column) -> Running:
     return Running("last", value)
 
 
-def with_running(
-    df: DataFrame,
-    group: list[str],
-    order: list[Column],
-    values: dict[str, Running],
-    rows_per_block: int | None = None,
-) -> DataFrame:
-    """Adds one column per entry of ``values``: its value over the earlier rows of the group.
+class Ordered:
+    """Rows in groups and in order, cut into blocks once for any number of running values.
 
-    ``order`` must be ascending and decide every tie within a group. Order and group columns
-    may be integers, strings, or arrays of strings (negate a number to sort it downwards).
+    Several rounds over the same ``Ordered`` share one shuffle and one sort.
     """
-    rows_per_block = rows_per_block or ROWS_PER_BLOCK
-    names = list(df.columns)
-    rows = df.count()
-    blocks = min(MAX_BLOCKS, -(-rows // rows_per_block))
-    if blocks <= 1:
-        window = Window.partitionBy(*group).orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, -1
+
+    def __init__(self, df, group, order, is_cut=None):
+        self.df = df
+        self.group = group
+        self.order = order
+        self.is_cut = is_cut
+
+    @classmethod
+    def cut(
+        cls, df: DataFrame, group: list[str], order: list[Column], rows_per_block: int | None = None
+    ) -> Ordered:
+        """``order`` must be ascending and decide every tie within a group. Order and group
+        columns may be integers, strings, or arrays of strings (negate a number to sort it
+        downwards)."""
+        rows_per_block = rows_per_block or ROWS_PER_BLOCK
+        rows = df.count()
+        blocks = min(MAX_BLOCKS, -(-rows // rows_per_block))
+        if blocks <= 1:
+            return cls(df, group, order)
+        key = cls._key(group, order)
+        bounds = _boundaries(df, key, len(group), rows, blocks)
+        if not bounds:
+            return cls(df, group, order)
+        is_cut = _among(df, group, bounds)
+        block = F.when(is_cut, _block_of(df, key, bounds)).otherwise(-1)
+        return cls(df.withColumn("__block", block), group, order, is_cut)
+
+    @staticmethod
+    def _key(group, order) -> Column:
+        names = [F.col(name).alias(f"g{i}") for i, name in enumerate(group)]
+        return F.struct(*names, *(column.alias(f"o{i}") for i, column in enumerate(order)))
+
+    def running(self, values: dict[str, Running]) -> Ordered:
+        """Adds one column per entry: its value over the earlier rows of the group."""
+        names = self.df.columns
+        if self.is_cut is None:
+            window = self._window(*self.group)
+            return self._with(
+                self.df.select(
+                    *names,
+                    *(run.join(run.over(window), None).alias(name) for name, run in values.items()),
+                )
+            )
+        window = self._window(*self.group, "__block")
+        local = self.df.select(
+            *names, *(run.over(window).alias(f"__local_{name}") for name, run in values.items())
         )
-        return df.select(
-            *names, *(run.join(run.over(window), None).alias(name) for name, run in values.items())
+        carry = _carries(
+            self.df.filter(self.is_cut), self.group, self._key(self.group, self.order), values
+        )
+        same = [local[name].eqNullSafe(carry[f"__c_{name}"]) for name in self.group]
+        joined = local.join(
+            F.broadcast(carry), [*same, local["__block"] == carry["__c_block"]], "left"
+        )
+        return self._with(
+            joined.select(
+                *(local[name] for name in names),
+                *(
+                    run.join(local[f"__local_{name}"], carry[f"__carry_{name}"]).alias(name)
+                    for name, run in values.items()
+                ),
+            )
         )
 
-    key_columns = [F.col(name).alias(f"g{i}") for i, name in enumerate(group)]
-    key_columns += [column.alias(f"o{i}") for i, column in enumerate(order)]
-    key = F.struct(*key_columns)
-    bounds, n_bounds = _boundaries(df, key, rows, blocks)
-    if n_bounds == 0:
-        return with_running(df, group, order, values, rows_per_block=rows)
+    def with_columns(self, columns: dict[str, Column]) -> Ordered:
+        return self._with(self.df.withColumns(columns))
 
-    keyed = df.withColumn("__block", _block_of(key, bounds, n_bounds))
+    def done(self) -> DataFrame:
+        return self.df.drop("__block")
 
-    window = (
-        Window.partitionBy(*group, "__block")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = keyed.select(
-        *names,
-        "__block",
-        *(run.over(window).alias(f"__local_{name}") for name, run in values.items()),
-    )
+    def _window(self, *by):
+        return (
+            Window.partitionBy(*by)
+            .orderBy(*self.order)
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
 
-    carry = _carries(keyed, group, key, bounds, values)
-    same = [local[name].eqNullSafe(carry[f"__c_{name}"]) for name in group]
-    joined = local.join(
-        F.broadcast(carry), [*same, local["__block"] == carry["__c_block"]], "left"
-    )
-    return joined.select(
-        *(local[name] for name in names),
-        *(
-            run.join(local[f"__local_{name}"], carry[f"__carry_{name}"]).alias(name)
-            for name, run in values.items()
-        ),
-    )
+    def _with(self, df) -> Ordered:
+        return Ordered(df, self.group, self.order, self.is_cut)
 
 
-def _boundaries(df: DataFrame, key: Column, rows: int, blocks: int) -> tuple[Column, int]:
-    """Evenly spaced sampled keys as a literal array. At most ``blocks - 1`` of them."""
+def with_running(
+    df: DataFrame,
+    group: list[str],
+    order: list[Column],
+    values: dict[str, Running],
+    rows_per_block: int | None = None,
+) -> DataFrame:
+    """One round of running values; see ``Ordered``."""
+    return Ordered.cut(df, group, order, rows_per_block).running(values).done()
+
+
+def _boundaries(
+    df: DataFrame, key: Column, n_group: int, rows: int, blocks: int
+) -> list[dict]:
+    """Evenly spaced sampled keys, fewer than ``blocks``, of groups that own several of them."""
     fraction = min(1.0, SAMPLES_PER_BLOCK * blocks / rows)
     sampled = df.select(key.alias("key"))
     if fraction < 1.0:
         sampled = sampled.sample(fraction=fraction, seed=17)
-    sampled = sampled.distinct().orderBy("key")
-    key_type = sampled.schema["key"].dataType
-    keys = [row[0] for row in sampled.select(F.to_json("key")).collect()]
+    keys = [
+        row[0] for row in sampled.distinct().orderBy("key").select(F.to_json("key")).collect()
+    ]
     step = max(1, len(keys) // blocks)
     chosen = [json.loads(text) for text in keys[step::step]][: blocks - 1]
-    array = F.from_json(F.lit(json.dumps(chosen)), T.ArrayType(key_type))
-    return array, len(chosen)
-
-
-def _block_of(key: Column, bounds: Column, n_bounds: int) -> Column:
-    """How many boundaries are at or below the key, by binary search in the literal."""
-    steps = [1 << bit for bit in reversed(range(n_bounds.bit_length()))]
+    if n_group == 0:
+        return chosen
+    owners = [json.dumps([bound.get(f"g{i}") for i in range(n_group)]) for bound in chosen]
+    counts = Counter(owners)
+    return [bound for bound, owner in zip(chosen, owners) if counts[owner] > 1]
+
+
+def _among(df: DataFrame, group: list[str], bounds: list[dict]) -> Column:
+    """Whether a row's group is one of those that are cut."""
+    if not group:
+        return F.lit(True)
+    firsts = [bound.get("g0") for bound in bounds]
+    if len(group) == 1 and not any(isinstance(value, list) for value in firsts):
+        known = sorted({value for value in firsts if value is not None})
+        found = F.coalesce(F.col(group[0]).isin(known), F.lit(False)) if known else F.lit(False)
+        return found | F.col(group[0]).isNull() if None in firsts else found
+    wanted = []
+    for bound in bounds:
+        values = {f"g{i}": bound.get(f"g{i}") for i in range(len(group))}
+        if values not in wanted:
+            wanted.append(values)
+    own = F.struct(*(F.col(name).alias(f"g{i}") for i, name in enumerate(group)))
+    kind = df.select(own.alias("own")).schema["own"].dataType
+    listed = F.from_json(F.lit(json.dumps(wanted)), T.ArrayType(kind))
+    return F.array_contains(listed, own)
+
+
+def _block_of(df: DataFrame, key: Column, bounds: list[dict]) -> Column:
+    """How many boundaries are at or below the key, by binary search in a literal."""
+    kind = df.select(key.alias("key")).schema["key"].dataType
+    array = F.from_json(F.lit(json.dumps(bounds)), T.ArrayType(kind))
+    n = len(bounds)
+    steps = [1 << bit for bit in reversed(range(n.bit_length()))]
     return F.aggregate(
         F.array(*[F.lit(step) for step in steps]),
         F.lit(0),
         lambda found, step: F.when(
-            (found + step <= n_bounds) & (F.get(bounds, found + step - 1) <= key), found + step
+            (found + step <= n) & (F.get(array, found + step - 1) <= key), found + step
         ).otherwise(found),
     )
 
 
 def _carries(
-    keyed: DataFrame, group: list[str], key: Column, bounds: Column, values: dict[str, Running]
+    cut: DataFrame, group: list[str], key: Column, values: dict[str, Running]
 ) -> DataFrame:
     """What each block inherits from earlier blocks of its group; at most 2 rows a boundary."""
-    if group:
-
-        def same_group(bound: Column) -> Column:
-            matches = [F.col(name).eqNullSafe(bound[f"g{i}"]) for i, name in enumerate(group)]
-            out = matches[0]
-            for match in matches[1:]:
-                out = out & match
-            return bound.isNotNull() & out
-
-        crossing = keyed.filter(
-            same_group(F.get(bounds, F.col("__block") - 1))
-            | same_group(F.get(bounds, F.col("__block")))
-        )
-    else:
-        crossing = keyed
-    sums = crossing.groupBy(*group, "__block").agg(
+    sums = cut.groupBy(*group, "__block").agg(
         *(run.of_block(key).alias(f"__sum_{name}") for name, run in values.items())
     )
     earlier = (

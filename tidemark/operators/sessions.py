@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.formats import backoff_ms, has_feature, known_features, waited_ms
 from tidemark.operators.running import (
+    Ordered,
     count_before,
     max_before,
     previous,
@@ -191,17 +192,14 @@ def idle_sessions(
     ``log`` has ``ts_us``. Looking back and carrying the start forward are running values, so a
     key with most of the log is shared out; the final grouping combines on the map side.
     """
-    looked = with_running(
-        log.select(*key, *[name for name in log.columns if name not in key]),
-        key,
-        order,
-        {"__before": previous(F.col("ts_us"))},
-        rows_per_block,
+    looked = Ordered.cut(log, key, order, rows_per_block).running(
+        {"__before": previous(F.col("ts_us"))}
     )
     fresh = F.col("__before").isNull() | (F.col("ts_us") - F.col("__before") >= gap_us)
-    marked = looked.withColumn("__start", F.when(fresh, F.col("ts_us")))
-    carried = with_running(
-        marked, key, order, {"__earlier": max_before(F.col("__start"))}, rows_per_block
+    carried = (
+        looked.with_columns({"__start": F.when(fresh, F.col("ts_us"))})
+        .running({"__earlier": max_before(F.col("__start"))})
+        .done()
     )
     return (
         carried.withColumn("started_us", F.coalesce("__start", "__earlier"))

@@ -45,7 +45,8 @@ def replay_events(spark, folder):
 @query(
     SQL_JOURNAL
     + """
-, kept AS (SELECT path, seq, op, user_id FROM journal WHERE seq < (SELECT min(seq) FROM journal WHERE NOT ok)
+, kept AS (SELECT path, seq, op, user_id FROM journal
+  WHERE seq < (SELECT coalesce(min(seq), 9223372036854775807) FROM journal WHERE NOT ok)
   UNION ALL SELECT 'users/' || c_custkey, -1, 'started', c_custkey FROM customer)
 SELECT path, greatest(max(seq), 0) AS size, any_value(user_id) AS mtime FROM kept GROUP BY path HAVING arg_max(op, seq) = 'started'
 """

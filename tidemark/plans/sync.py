@@ -12,6 +12,7 @@ from tidemark.functions.paths import display_path
 from tidemark.operators import diff, fingerprint as fi, manifest as man
 from tidemark.operators.accounting import stats_block
 from tidemark.operators.sessions import RECOVERABLE
+from tidemark.operators.sizes import BroadcastBound, fits
 from tidemark.operators.state import forgot_records, started_records
 from tidemark.schema import HASH_CACHE, MANIFEST, Limits, RetryPolicy, SyncOptions
 from tidemark.sources import stores
@@ -145,19 +146,15 @@ def chosen_bodies(
     source: DataFrame,
     decisions: DataFrame,
     limits: Limits = Limits(),
-    broadcast_rows: int = fi.BROADCAST_ROWS,
+    bound: BroadcastBound = BroadcastBound(),
 ) -> DataFrame:
-    """Source rows to send. The shorter of the needed and the skipped list is broadcast when it
-    is short enough; only when both are long do bodies have to be shuffled to meet their keys."""
+    """Source rows to send. The needed or the skipped list is broadcast when it is within the
+    bound; only when both are longer do bodies have to be shuffled to meet their keys."""
     needs = diff.needed(decisions).select("path")
     rest = diff.unchanged(decisions).select("path")
-    counts = decisions.agg(
-        F.count_if(F.col("decision") == "Need").alias("need"),
-        F.count_if(F.col("decision") == "Skip").alias("skip"),
-    ).first()
-    if counts["need"] <= broadcast_rows:
+    if fits(needs, bound):
         return source.join(F.broadcast(needs), "path", "left_semi")
-    if counts["skip"] <= broadcast_rows:
+    if fits(rest, bound):
         valid, _ = man.split_valid(source, limits)
         return valid.join(F.broadcast(rest), "path", "left_anti")
     return source.join(needs, "path", "left_semi")
@@ -169,7 +166,7 @@ def apply_sync(
     target: DataFrame,
     dest: str,
     state_folder: str | None = None,
-    broadcast_rows: int = fi.BROADCAST_ROWS,
+    bound: BroadcastBound = BroadcastBound(),
 ) -> SyncResult:
     """Carries a plan out: journal, stage, verify, publish, forget.
 
@@ -186,7 +183,7 @@ def apply_sync(
         stores.append_journal(started_records(wanted), f"{state_folder}/journal")
 
     bodies = chosen_bodies(
-        source.select(*OBJECT_COLUMNS), plan.decisions, plan.options.limits, broadcast_rows
+        source.select(*OBJECT_COLUMNS), plan.decisions, plan.options.limits, bound
     )
     staged = settle(bodies.withColumn("sent_hash", fingerprint(F.col("body"))), "staged")
     offered = wanted.select("path", F.col("hash").alias("offered_hash"))
@@ -217,7 +214,7 @@ def apply_sync(
     marks = marks.unionByName(
         plan.repairs.select("path", F.lit(False).alias("__new"), F.col("new_mtime").alias("__mtime"))
     )
-    few = marks.limit(broadcast_rows + 1).count() <= broadcast_rows
+    few = fits(marks, bound)
     marks = F.broadcast(marks) if few else marks
     kept = (
         target.select(*OBJECT_COLUMNS)
