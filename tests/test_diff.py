@@ -180,3 +180,6 @@ def test_shards_are_balanced(spark):
     loads = man.balanced_shards(man.assign_ids(df), 8).groupBy("shard").agg(F.sum("size").alias("s"))
     low, high = loads.agg(F.min("s"), F.max("s")).first()
     assert loads.count() == 8 and high < low * 1.02
+    spread = man.spread_by_shard(man.balanced_shards(man.assign_ids(df), 8), 8)
+    placed = spread.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(placed) == len({r["p"] for r in placed}) == 8

@@ -141,8 +141,10 @@ def balanced_shards(df: DataFrame, shards: int) -> DataFrame:
     return df.withColumn("shard", F.when(forward, turn).otherwise(n - 1 - turn))
 
 
-def spread_by_shard(df: DataFrame) -> DataFrame:
-    return df.repartition("shard")
+def spread_by_shard(df: DataFrame, shards: int) -> DataFrame:
+    """One task per shard. The number is explicit, since rows that only name objects are small
+    and would otherwise be coalesced into a few tasks."""
+    return df.repartitionById(shards, F.col("shard").cast("int"))
 
 
 def limit_report(df: DataFrame, limits: Limits = Limits()) -> DataFrame:

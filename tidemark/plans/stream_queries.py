@@ -173,7 +173,21 @@ def stream_idle_sessions(spark, folder):
     )
 
 
-@query()
+@query(
+    SQL_TRANSFERS
+    + """
+, opened AS (SELECT event_id, user_id, ts_us FROM transfers WHERE event_type = 'signup'),
+answered AS (SELECT user_id, ts_us FROM transfers WHERE event_type = 'purchase'),
+pairs AS (
+  SELECT o.event_id, o.user_id, o.ts_us AS opened_us, a.ts_us AS answered_us
+  FROM opened o LEFT JOIN answered a ON a.user_id = o.user_id AND a.ts_us BETWEEN o.ts_us AND o.ts_us + 43200000000
+), level AS (
+  SELECT least((SELECT max(ts_us) FROM opened), (SELECT max(ts_us) FROM answered)) // 1000 * 1000 - 3600000000 AS watermark
+)
+SELECT user_id, opened_us, answered_us FROM pairs
+WHERE answered_us IS NOT NULL OR opened_us + 43200000000 < (SELECT watermark FROM level)
+"""
+)
 def stream_handshakes(spark, folder):
     log = timed_transfers(spark, folder).select("user_id", "event_type", "ts")
     pairs = ss.stream_handshakes(

@@ -36,6 +36,7 @@ ARROW = pa.schema(
 GROUPS = 256
 EXPAND_LEVELS = 4
 ROWS_PER_BATCH = 8_192
+TASKS_PER_CORE = 4
 
 
 class Group(InputPartition):
@@ -223,9 +224,11 @@ def split_inventory(
 def read_contents(
     files: DataFrame, chunk_bytes: int = LEAF_BYTES, id_col: str = "file_id"
 ) -> DataFrame:
-    """Chunk rows of files with ``location`` and ``size``. Pieces are dealt out to all tasks.
+    """Chunk rows of files with ``location`` and ``size``.
 
-    A file that cannot be opened gives no rows, so its fingerprint stays unknown.
+    Pieces are dealt out to a fixed number of tasks, several per core: a row that names a piece
+    is tiny however many bytes it stands for, so adaptive coalescing would put them all in one
+    task. A file that cannot be opened gives no rows, so its fingerprint stays unknown.
     """
     step = F.lit(chunk_bytes).cast("bigint")
     last = F.greatest(whole_div(F.col("size") + (chunk_bytes - 1), step) - 1, F.lit(0))
@@ -236,7 +239,8 @@ def read_contents(
         F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("__i"),
     ).select("file_id", "location", "size", (F.col("__i") * chunk_bytes).alias("offset"))
     kind = files.schema[id_col].dataType.simpleString()
-    spread = pieces.repartition(F.col("file_id"), F.col("offset"))
+    tasks = TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
+    spread = pieces.repartition(tasks, F.col("file_id"), F.col("offset"))
 
     def read(batches):
         for batch in batches:

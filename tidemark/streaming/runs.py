@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,18 +16,33 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
+def finish(writer: DataStreamWriter, spark: SparkSession) -> None:
+    """Starts a stream and waits for it.
+
+    Its number of state stores is fixed when it first starts. More of them than cores only adds
+    work to every micro-batch, so the shuffle setting is capped there while the stream starts.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(setting, before)
+    query.awaitTermination()
+
+
 def append_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Runs over what is there and stops. The parquet sink commits each micro-batch once, so a
     restart from the checkpoint adds nothing twice."""
-    query = (
+    writer = (
         stream.writeStream.outputMode("append")
         .format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    finish(writer, stream.sparkSession)
 
 
 def update_available(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -36,14 +52,13 @@ def update_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (
+    writer = (
         stream.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    finish(writer, stream.sparkSession)
 
 
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.paths import validate_path
 from tidemark.operators import diff
 from tidemark.schema import LimitExceeded, Limits
+from tidemark.streaming.runs import finish
 
 
 def stream_state(journal: DataFrame, keys: list[str], limits: Limits = Limits()) -> DataFrame:
@@ -60,13 +61,12 @@ def run_sync(
         if wanted > limits.max_files:
             raise LimitExceeded(f"max_files is {limits.max_files}, {wanted} are wanted")
 
-    query = (
+    writer = (
         manifest.writeStream.foreachBatch(answer)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start()
     )
-    query.awaitTermination()
+    finish(writer, manifest.sparkSession)
 
 
 def drop_redelivered(
