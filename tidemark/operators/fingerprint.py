@@ -13,7 +13,7 @@ from tidemark.functions.paths import display_path
 from tidemark.operators.running import max_before, with_running
 from tidemark.operators.sizes import BroadcastBound, fits
 
-COLLECT_BYTES = 64 * 1024**2
+COLLECT_BYTES = 8 * 1024**2
 LEAF_BYTES = 1024**2
 FAN_OUT = 4_096
 
@@ -46,18 +46,13 @@ def digest_chunks(
     whole: their chunks are sorted within a partition (which spills) and fed to the digest one
     by one. SHA-256 is sequential per object; ``tree_digest`` is the way to spread one object.
     Pass ``sizes`` (``file_id, size``, as a manifest has them) to save a pass over the bodies.
+    One look at the sizes settles whether the second way is needed at all.
     """
     if sizes is None:
         sizes = chunks.groupBy("file_id").agg(F.sum(F.octet_length("data")).alias("size"))
     large = sizes.filter(F.col("size") > collect_bytes).select("file_id")
-    joined = (
-        chunks.join(large, "file_id", "left_anti")
-        .groupBy("file_id")
-        .agg(
-            F.sum(F.octet_length("data")).cast("bigint").alias("size"),
-            F.sha2(F.expr("listagg(data) WITHIN GROUP (ORDER BY offset)"), 256).alias("hash"),
-        )
-    )
+    if not large.take(1):
+        return _digest_joined(chunks)
     streamed = (
         chunks.join(large, "file_id", "left_semi")
         .repartition("file_id")
@@ -65,7 +60,14 @@ def digest_chunks(
         .select("file_id", "data")
         .mapInPandas(_digest_in_order, "file_id bigint, size bigint, hash string")
     )
-    return joined.unionByName(streamed)
+    return _digest_joined(chunks.join(large, "file_id", "left_anti")).unionByName(streamed)
+
+
+def _digest_joined(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("file_id").agg(
+        F.sum(F.octet_length("data")).cast("bigint").alias("size"),
+        F.sha2(F.expr("listagg(data) WITHIN GROUP (ORDER BY offset)"), 256).alias("hash"),
+    )
 
 
 def _digest_in_order(batches):
