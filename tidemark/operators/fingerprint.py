@@ -92,47 +92,41 @@ def tree_digest(
 ) -> DataFrame:
     """A digest that spreads: hash every leaf, then the ordered leaf hashes, in two levels.
 
-    It depends on the bytes only, not on how they were cut into chunks. A chunk that fills a
-    leaf exactly is hashed where it is; only chunk pieces that share a leaf are shuffled as
-    bytes. No group is larger than one leaf or ``fan_out`` hashes, so one huge object is spread
-    over as many tasks as it has leaves. It is a different digest from SHA-256 of the whole.
+    It depends on the bytes only, not on how they were cut into chunks. The chunks are passed
+    over once. One that fills a leaf exactly is hashed where it is and only its hash travels;
+    only pieces that share a leaf are shuffled as bytes. No group is larger than one leaf or
+    ``fan_out`` hashes, so one huge object is spread over as many tasks as it has leaves. It is a
+    different digest from SHA-256 of the whole.
     """
     leaf = F.lit(leaf_bytes).cast("bigint")
-    length = F.octet_length("data").cast("bigint")
     offset = F.col("offset")
-    whole = (offset % leaf == 0) & (length == leaf)
-    filled = chunks.filter(whole).select(
-        "file_id",
-        whole_div(offset, leaf).alias("leaf"),
-        length.alias("size"),
-        fingerprint(F.col("data")).alias("hash"),
+    pieces = chunks.select(
+        "file_id", "offset", "data", F.octet_length("data").cast("bigint").alias("length")
     )
-    pieces = chunks.filter(~whole).select(
-        "file_id",
-        "offset",
-        "data",
-        F.explode(
-            F.sequence(
-                whole_div(offset, leaf),
-                whole_div(offset + F.greatest(length - 1, F.lit(0)), leaf),
-            )
-        ).alias("leaf"),
+    last_byte = offset + F.greatest(F.col("length") - 1, F.lit(0))
+    pieces = pieces.select(
+        "*", F.explode(F.sequence(whole_div(offset, leaf), whole_div(last_byte, leaf))).alias("leaf")
     )
     begin = F.greatest(offset, F.col("leaf") * leaf)
-    end = F.least(offset + length, (F.col("leaf") + 1) * leaf)
-    shared = (
+    end = F.least(offset + F.col("length"), (F.col("leaf") + 1) * leaf)
+    fills = (offset % leaf == 0) & (F.col("length") == leaf)
+    part = F.substring(F.col("data"), (begin - offset + 1).cast("int"), (end - begin).cast("int"))
+    leaves = (
         pieces.select(
             "file_id",
             "leaf",
             begin.alias("begin"),
-            F.substring(
-                F.col("data"), (begin - offset + 1).cast("int"), (end - begin).cast("int")
-            ).alias("piece"),
+            (end - begin).alias("size"),
+            F.when(fills, fingerprint(F.col("data"))).alias("done"),
+            F.when(~fills, part).alias("piece"),
         )
         .groupBy("file_id", "leaf")
         .agg(
-            F.sum(F.octet_length("piece")).cast("bigint").alias("size"),
-            F.sha2(F.expr("listagg(piece) WITHIN GROUP (ORDER BY begin)"), 256).alias("hash"),
+            F.sum("size").alias("size"),
+            F.coalesce(
+                F.max("done"),
+                F.sha2(F.expr("listagg(piece) WITHIN GROUP (ORDER BY begin)"), 256),
+            ).alias("hash"),
         )
     )
     too_many = F.raise_error(F.lit("the object has more leaves than two levels can hold"))
@@ -141,8 +135,7 @@ def tree_digest(
         whole_div(F.col("leaf"), F.lit(fan_out).cast("bigint")),
     ).otherwise(too_many.cast("bigint"))
     branches = (
-        filled.unionByName(shared)
-        .withColumn("branch", branch)
+        leaves.withColumn("branch", branch)
         .groupBy("file_id", "branch")
         .agg(
             F.sum("size").alias("size"),
