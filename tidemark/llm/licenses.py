@@ -143,7 +143,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFra
     vocabulary = frozenset(w for text in templates.values() for w in words(text))
     matcher = Matcher(templates, frequencies(docs, vocabulary))
 
-    @F.pandas_udf(f"struct<{', '.join(f'{c[0]}:{c[1]}' for c in (x.split() for x in SCAN.split(', ')))}>")
+    @F.pandas_udf(f"struct<{SCAN}>")
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             rows = []

@@ -104,7 +104,10 @@ def listed(found: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in found)
 
 
-@F.pandas_udf("array<struct<start long, end long, kind string>>")
+SPANS = "array<struct<start long, end long, kind string>>"
+DIGEST = "struct<n_assign long, n_access long, n_hex long, base_sha256 string, spans string>"
+
+
 def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([[{"start": s, "end": e, "kind": k} for s, e, k in spans(text)] for text in batch])
@@ -112,10 +115,9 @@ def _spans(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def found_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, start, end, kind``: one row for each secret in a whole text."""
-    return docs.select("doc_id", F.inline(_spans("text")))
+    return docs.select("doc_id", F.inline(F.pandas_udf(_spans, SPANS)("text")))
 
 
-@F.pandas_udf("struct<n_assign long, n_access long, n_hex long, base_sha256 string, spans string>")
 def _digest(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
         rows = []
@@ -132,15 +134,14 @@ def scanned(docs: DataFrame) -> DataFrame:
 
     A null or empty text has none; repeated rows are rows of their own; an empty table has no rows.
     """
-    return docs.select("doc_id", _digest("text").alias("x")).select("doc_id", "x.*")
+    return docs.select("doc_id", F.pandas_udf(_digest, DIGEST)("text").alias("x")).select("doc_id", "x.*")
 
 
 def redacted(text: Column) -> Column:
     """The text with every span replaced by its kind in brackets."""
-    return _redacted(text)
+    return F.pandas_udf(_redacted, "string")(text)
 
 
-@F.pandas_udf("string")
 def _redacted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         out = []

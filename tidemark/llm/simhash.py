@@ -41,7 +41,6 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series([fingerprint(text) for text in batch], dtype="int64")
@@ -49,7 +48,7 @@ def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint`` (signed long) of every row."""
-    return docs.select("doc_id", _fingerprints("text").alias("fingerprint"))
+    return docs.select("doc_id", F.pandas_udf(_fingerprints, "long")("text").alias("fingerprint"))
 
 
 def _blocks() -> list[list[int]]:

@@ -328,7 +328,6 @@ def removed(raw: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 CLEAN = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
-@F.pandas_udf(f"struct<{CLEAN.replace(' ', ':').replace(',:', ', ')}>")
 def _clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, runs in parts:
         rows = []
@@ -353,7 +352,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """
     gone = repeats(docs).groupBy("place").agg(F.collect_list(F.struct("since", "until")).alias("runs"))
     plain = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("place"))
-    return plain.join(gone, "place", "left").select("doc_id", _clean("text", "runs").alias("x")).select("doc_id", "x.*")
+    return plain.join(gone, "place", "left").select("doc_id", F.pandas_udf(_clean, f"struct<{CLEAN}>")("text", "runs").alias("x")).select("doc_id", "x.*")
 
 
 def summary(docs: DataFrame) -> DataFrame:
