@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh, whole_text, words
+from tidemark.llm.common import WORD, fresh, words
 from tidemark.sources.shared import settle
 
 #: The edit bound: one word put in, taken out or replaced, in lines where that is at most a fifth.
@@ -21,9 +21,10 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _identified(lines: DataFrame) -> DataFrame:
-    """With ``words`` and two independent hashes of them; lines without words go."""
-    cut = lines.withColumn("words", words(F.col("line"))).filter(F.size("words") > 0)
-    return cut.withColumns({"h1": F.xxhash64("words"), "h2": F.xxhash64(F.lit("line"), "words")})
+    """With two independent hashes of each line, white space at its ends aside; lines without words go."""
+    line = F.btrim("line", F.lit(" \t\n\x0b\f\r"))
+    cut = lines.filter(F.col("line").rlike(WORD)).withColumn("line", line)
+    return cut.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), "line")})
 
 
 def _levels(n: Column) -> Column:
@@ -103,9 +104,10 @@ def variants(lines: DataFrame) -> DataFrame:
 def _within_an_edit(one: Column, other: Column) -> Column:
     """Whether two arrays of words are one edit apart: what they share at both ends is all but one."""
     a, b = F.size(one), F.size(other)
-    shared = lambda x, y: F.coalesce(
-        F.array_position(F.zip_with(x, y, lambda u, v: ~u.eqNullSafe(v)), True) - 1, F.lit(0)
-    )
+    def shared(x: Column, y: Column) -> Column:
+        mismatch = F.array_position(F.zip_with(x, y, lambda u, v: ~u.eqNullSafe(v)), True)
+        return F.when(mismatch > 0, mismatch - 1).otherwise(F.size(x))
+
     front = shared(one, other)
     back = shared(F.reverse(one), F.reverse(other))
     return (F.abs(a - b) <= EDITS) & (front + back >= F.greatest(a, b) - EDITS)
@@ -116,7 +118,7 @@ def decisions(docs: DataFrame) -> DataFrame:
     place of a line one edit away, if that is earlier than its own (else null).
 
     Places are ``doc_id, line_no`` and are compared in that order; a null doc_id comes first. Lines
-    are equal if their words are. Lines of four words and fewer have no near lines among themselves.
+    are equal if their texts are, white space at the ends aside; other white space makes near lines. Lines of four words and fewer have no near lines among themselves.
     Only lines that share their first or their last words with another line can have a near line,
     and only those emit variants. A group with one key, however large, is an aggregate of its
     earliest place; nothing is emitted for pairs. Each link is then verified on the words.
@@ -126,8 +128,10 @@ def decisions(docs: DataFrame) -> DataFrame:
         identified.groupBy("h1", "h2")
         .agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("times"), F.min("line").alias("line"))
     )
-    distinct = settle(distinct, "lines")
-    ends = distinct.select("h1", "h2", F.inline(_ends(words(F.col("line")))))
+    distinct = settle(distinct, "lines", compression="zstd")
+    # The words are a column of their own, or each use would cut the line again.
+    cut = distinct.select("h1", "h2", words(F.col("line")).alias("words"))
+    ends = settle(cut.select("h1", "h2", F.inline(_ends(F.col("words")))), "ends")
     common = ends.groupBy("end").agg(F.count("*").alias("n")).filter("n > 1").select("end")
     length = lambda front: F.max(F.when(F.col("front") == front, F.col("level")))
     open_lines = ends.join(common, "end", "left_semi").groupBy("h1", "h2").agg(length(True).alias("front"), length(False).alias("back"))
