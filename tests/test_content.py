@@ -121,8 +121,8 @@ def test_only_objects_up_to_the_ceiling_are_hashed(spark):
     from tidemark.functions.content import should_hash
 
     df = spark.createDataFrame([(1024**3,), (1024**3 + 1,)], "size bigint")
-    got = [tuple(r) for r in df.select(should_hash(F.col("size")), should_hash(F.col("size"), True)).collect()]
-    assert got == [(True, True), (False, True)]
+    got = [tuple(r) for r in df.select(should_hash(F.col("size"), ceiling=1024**3), should_hash(F.col("size"), True), should_hash(F.col("size"))).collect()]
+    assert got == [(True, True, True), (False, True, True)]
 
 
 def test_sampling(spark):

@@ -148,7 +148,7 @@ def spread_by_shard(df: DataFrame, shards: int) -> DataFrame:
 
 
 def limit_report(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per bound: what the manifest needs, what is allowed, whether it passes."""
+    """One row per bound: what the manifest needs, what is allowed (null: all), whether it passes."""
     facts = df.agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.max("size"), F.lit(0).cast("bigint")).alias("largest"),
@@ -168,7 +168,7 @@ def limit_report(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return (
         facts.select(F.explode(rows).alias("row"))
         .select("row.*")
-        .withColumn("passes", F.col("needed") <= F.col("allowed"))
+        .withColumn("passes", F.coalesce(F.col("needed") <= F.col("allowed"), F.lit(True)))
     )
 
 

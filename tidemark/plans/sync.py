@@ -96,6 +96,7 @@ def plan_sync(
     if options.strict:
         refuse(rejects)
     man.check_limits(accepted, limits)
+    man.assert_unique_paths(accepted, "source")
     held_facts = settle(target.select("path", "size", "mtime"), "held")
     man.assert_unique_paths(held_facts)
 
@@ -180,6 +181,8 @@ def apply_sync(
         return SyncResult(plan, nothing, nothing, None)
 
     if state_folder is not None:
+        # What an interrupted run left is folded first: numbers start anew in an empty journal.
+        stores.compact(spark, f"{state_folder}/snapshot", f"{state_folder}/journal")
         stores.append_journal(started_records(wanted), f"{state_folder}/journal")
 
     bodies = chosen_bodies(
@@ -229,7 +232,9 @@ def apply_sync(
 
     if state_folder is not None:
         first = (wanted.agg(F.max("file_id")).first()[0] or 0) + 1
-        stores.append_journal(forgot_records(wanted, first), f"{state_folder}/journal")
+        # What vanished stays resumable; what arrived, or arrived wrong, starts over.
+        seen = wanted.join(verdicts.filter(~F.col("vanished")).select("path"), "path", "left_semi")
+        stores.append_journal(forgot_records(seen, first), f"{state_folder}/journal")
         stores.compact(spark, f"{state_folder}/snapshot", f"{state_folder}/journal")
     transferred = verdicts.filter(F.col("ok")).select("path", "size", "hash")
     return SyncResult(plan, transferred, failures, version)

@@ -107,7 +107,6 @@ PORTABLE = "portable"
 POSIX = "posix"
 STATE_DIR = ".tidemark"
 PARTIAL_SUFFIX = ".part"
-HASH_SIZE_CEILING = 1024**3
 SAMPLE_BYTES = 256 * 1024
 SAMPLE_LEVEL = 3
 WORTHWHILE_PERCENT = 105
@@ -131,17 +130,17 @@ class LimitExceeded(ValueError):
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds on one run. The values are used as literals inside the plans."""
+    """Bounds on one run. The values are used as literals inside the plans; None is no bound."""
 
     max_frame_len_bytes: int = 4 * 1024 * 1024
     max_manifest_entries: int = 2_000
-    max_files: int = 1_000_000
+    max_files: int | None = None
     max_path_depth: int = 64
     max_path_len_bytes: int = 4_096
     max_concurrent_streams: int = 16
     handshake_timeout_ms: int = 10_000
     idle_timeout_ms: int = 60_000
-    max_file_size_bytes: int = 1 << 42
+    max_file_size_bytes: int | None = None
     names: str = PORTABLE
 
     def __post_init__(self):
@@ -149,7 +148,7 @@ class Limits:
             raise ValueError(f"names must be {PORTABLE!r} or {POSIX!r}, not {self.names!r}")
         for field in fields(self):
             value = getattr(self, field.name)
-            if field.name not in ("names", "max_frame_len_bytes") and value <= 0:
+            if field.name not in ("names", "max_frame_len_bytes") and value is not None and value <= 0:
                 raise ValueError(f"{field.name} must be above zero")
         if self.max_frame_len_bytes < MIN_FRAME_BYTES:
             raise ValueError(

@@ -17,19 +17,8 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def finish(writer: DataStreamWriter, spark: SparkSession) -> None:
-    """Starts a stream and waits for it.
-
-    Its number of state stores is fixed when it first starts. More of them than cores only adds
-    work to every micro-batch, so the shuffle setting is capped there while the stream starts.
-    """
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
-    try:
-        query = writer.start()
-    finally:
-        spark.conf.set(setting, before)
-    query.awaitTermination()
+    """Starts a stream and waits for it. The session's settings rule its number of state stores."""
+    writer.start().awaitTermination()
 
 
 def append_available(stream: DataFrame, out: str, checkpoint: str) -> None:
