@@ -24,6 +24,11 @@ POLICIES = {
 CURRENT = 2
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is made once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the measurements of its whole text; null counts as empty.
 
@@ -36,12 +41,16 @@ def measure(docs: DataFrame) -> DataFrame:
         words(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORD)).alias("lines"),
     )
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("words") - 3),
-        lambda i: F.struct(
-            F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("hash"), i.alias("at")
-        ),
-    )
+    # Arrays are bound to a name inside the expression: a filter that is pushed below a projection
+    # would otherwise put their whole making into the lambdas that read them.
+    def windows(cut: Column) -> Column:
+        at = lambda i: F.struct(F.xxhash64(F.get(cut, i), F.get(cut, i + 1), F.get(cut, i + 2)).alias("hash"), i.alias("at"))
+        return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(cut) - 3), at))
+
+    def repeated(found: Column) -> Column:
+        same = lambda x, i: F.coalesce(F.get(found, i)["hash"] == x["hash"], F.lit(False))
+        return F.filter(found, lambda x, i: F.when(i > 0, same(x, i - 1)).otherwise(False) | same(x, i + 1))
+
     counted = split.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
@@ -49,15 +58,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") >= 3, F.sort_array(windows)).alias("windows"),
-    )
-    same = lambda x, i: F.coalesce(F.get("windows", i)["hash"] == x["hash"], F.lit(False))
-    marked = counted.withColumn(
-        "places",
-        F.filter(
-            "windows",
-            lambda x, i: F.when(i > 0, same(x, i - 1)).otherwise(False) | same(x, i + 1),
-        ),
+        F.when(F.size("words") >= 3, _bound(F.col("words"), lambda cut: _bound(windows(cut), repeated))).alias("places"),
     )
     covered = F.aggregate(
         F.sort_array(F.transform("places", lambda x: x["at"])),
@@ -65,7 +66,7 @@ def measure(docs: DataFrame) -> DataFrame:
         lambda seen, at: F.struct((seen["n"] + F.least(F.lit(3), at - seen["last"])).alias("n"), at.alias("last")),
         lambda seen: seen["n"],
     )
-    return marked.select(
+    return counted.select(
         "doc_id",
         "n_words",
         "word_chars",
