@@ -125,31 +125,6 @@ def test_only_objects_up_to_the_ceiling_are_hashed(spark):
     assert got == [(True, True, True), (False, True, True)]
 
 
-def test_sampling(spark):
-    text = "the quick brown fox jumps over the lazy dog " * 12000
-    rows = [
-        ("text", text.encode()),
-        ("noise", os.urandom(512 * 1024)),
-        ("empty", b""),
-        ("noise after text", text.encode()[: 256 * 1024] + os.urandom(600_000)),
-        ("text after noise", os.urandom(256 * 1024) + text.encode()),
-        ("none", None),
-    ]
-    df = spark.createDataFrame([(n, None if b is None else bytearray(b)) for n, b in rows], "name string, body binary")
-    got = {r["name"]: r["compressed"] for r in co.sample_compression(df, "body").collect()}
-    assert got == {"text": True, "noise": False, "empty": False, "noise after text": True, "text after noise": False, "none": False}
-
-
-def test_the_name_settles_it_before_the_sample(spark):
-    body = bytearray(b"a" * 100_000)
-    df = spark.createDataFrame([("x.mp4", body), ("x.dat", body)], "name string, body binary")
-    got = {r["name"]: r["compressed"] for r in co.compression_plan(df, "name", "body").collect()}
-    assert got == {"x.mp4": False, "x.dat": True}
-    off = co.compression_plan(df, "name", "body", compress=False)
-    assert off.filter("compressed").count() == 0
-    assert "ArrowEvalPython" not in off._jdf.queryExecution().toString()
-
-
 def test_wording(spark):
     sizes = {0: "0 B", 1023: "1023 B", 1024: "1.0 KiB", 1536: "1.5 KiB", 4 * 1024**2: "4.0 MiB",
              1024**2 - 1: "1023.9 KiB", 5 * 1024**4 * 1000: "5000.0 TiB", 2**63 - 1: "8388607.9 TiB"}

@@ -95,13 +95,14 @@ def served_one_by_one(requests, rate):
     return out
 
 
-def test_published_pacing_examples(spark):
+def test_pacing_by_hand(spark):
     def grants(rows, rate):
         df = spark.createDataFrame([("k", i, t, b) for i, (t, b) in enumerate(rows)], "k string, i bigint, ts_us bigint, bytes bigint")
         return [r["granted_us"] for r in pacing.pace(df, ["k"], [F.col("ts_us"), F.col("i")], rate).orderBy("i").collect()]
 
-    assert grants([(0, 1024)] * 4, 1024) == [0, 0, 1_000_000, 2_000_000]
-    assert grants([(0, 4096), (0, 1)], 1024) == [0, 3_000_000]
+    # A bucket of 500 opens full: what goes beyond it waits for 500 a second.
+    assert grants([(0, 250)] * 5, 500) == [0, 0, 0, 500_000, 1_000_000]
+    assert grants([(0, 1_250), (0, 1)], 500) == [0, 1_500_000]
 
 
 def test_pacing_agrees_with_a_loop(spark):
@@ -173,3 +174,21 @@ def test_top_rejects_count_the_rest(spark):
     got = acc.top_rejects(df).collect()
     assert len(got) == 10 and {r["more"] for r in got} == {3}
     assert {r["more"] for r in acc.top_rejects(df.limit(4)).collect()} == {0}
+
+
+def test_every_opening_meets_its_first_answer(spark):
+    rng = random.Random(12)
+    opened = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 5)}", rng.randint(0, 900)) for _ in range(400)]
+    answered = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 4)}", rng.randint(0, 900)) for _ in range(300)]
+    expected = []
+    for key, at in opened:
+        later = [t for k, t in answered if k == key and t >= at]
+        first = min(later, default=None)
+        expected.append((key, at, first, first is not None and first - at <= 7))
+    schema = "k string, ts_us bigint"
+    left, right = spark.createDataFrame(opened, schema), spark.createDataFrame(answered, schema)
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    for rows_per_block in (None, 40):
+        got = se.handshake_timeouts(left, right, ["k"], 7, rows_per_block)
+        assert order(got.select("k", "ts_us", "answered_us", "in_time").collect()) == order(expected)
+    assert se.handshake_timeouts(left, right.limit(0), ["k"], 7).filter("in_time").count() == 0

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import pacing, state
+from tidemark.operators import state
 from tidemark.schema import JOURNAL, Limits
 from tidemark.streaming import session_streams as ss, state_streams as st
 from tidemark.streaming.runs import append_available, latest, update_available
@@ -64,20 +64,32 @@ def test_wanted_files_are_counted_over_batches(spark, tmp_path):
         st.run_sync(offers(), held, str(tmp_path / "o2"), str(tmp_path / "c2"), Limits(max_files=4))
 
 
-def test_pacing_keeps_its_level_between_batches(spark, tmp_path):
-    root, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows = [(k, i, 1_700_000_000_000_000 + i * 200_000, 700 + 13 * k) for k in range(3) for i in range(60)]
-    schema = "k bigint, id bigint, ts_us bigint, bytes bigint"
-    everything = spark.createDataFrame(rows, schema)
-    for part in range(3):
-        everything.filter(f"id div 20 = {part}").coalesce(1).write.parquet(f"{root}/p{part}")
-        reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
-        append_available(ss.stream_pace(reader.parquet(root), "k", 1500), out, str(tmp_path / "c"))
-    got = spark.read.parquet(out).select("k", "id", "delay_us")
-    batch = pacing.pace(everything, ["k"], [F.col("ts_us"), F.col("id")], 1500).select("k", "id", "delay_us")
-    assert got.count() == 180
-    assert got.exceptAll(batch).count() == 0
-    assert batch.filter("delay_us > 1000").count() > 20
+def test_violations_are_found_over_batches_and_gaps(spark, tmp_path):
+    root, out, state, checkpoint = (str(tmp_path / n) for n in ("in", "out", "state", "check"))
+    allowed = {"START": ["ask"], "ask": ["tell"], "tell": ["ask"]}
+    parts = [
+        [("a", 0, "ask", 0), ("a", 3, "tell", 1), ("b", 0, "tell", 2), ("c", 0, "ask", 3)],
+        [("a", 7, "tell", 40), ("b", 1, "ask", 41), ("a", 2, "ask", 42)],
+        [("a", 8, "ask", 90_000), ("d", 5, "ask", 90_001)],
+    ]
+    schema = "s string, seq bigint, kind string, ts timestamp"
+    for i, part in enumerate(parts):
+        rows = spark.createDataFrame(part, "s string, seq bigint, kind string, t bigint")
+        timed = rows.select("s", "seq", "kind", F.timestamp_seconds("t").alias("ts"))
+        timed.coalesce(1).write.parquet(f"{root}/p{i}")
+        log = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(root)
+        for _ in range(2):  # a second start finds nothing new and changes nothing
+            ss.run_violations(log, "s", out, state, checkpoint, allowed, ["tell"])
+    found = spark.read.parquet(out)
+    got = {(r["s"], r["seq"], r["got"], r["batch"]) for r in found.collect()}
+    assert got == {
+        ("b", 0, "tell", 0),
+        ("a", 7, "tell", 1),
+        ("b", 2, "END", 2),
+        ("c", 1, "END", 2),
+    }
+    still = ss.open_ends(spark, "s", out, state, ["tell"]).collect()
+    assert {(r["s"], r["seq"]) for r in still} == {("a", 9), ("d", 6)}
 
 
 def test_unanswered_openings_come_out_when_their_time_has_passed(spark, tmp_path):

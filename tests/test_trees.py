@@ -9,7 +9,7 @@ from tidemark.schema import LIVE_STATE, SyncOptions
 from tidemark.sources import stores
 from tests.plain import plain_tree
 
-FILES = {"notes.txt": b"first version", "nested/photo.bin": b"p" * 65536, "nested/data.bin": b"d" * 4096}
+FILES = {"index": b"spring,summer", "scans/1987/plate": b"\x07\xf0" * 9000, "scans/key": b"k" * 777}
 
 
 def write(root, files, mtime=1_700_000_000):
@@ -28,19 +28,19 @@ def decisions(plan):
 
 def test_a_tree_is_compared_with_its_copy(spark, tmp_path):
     source, target = tmp_path / "source", tmp_path / "target"
-    write(source, {**FILES, "what?.txt": b"x"})
-    write(target, {"notes.txt": b"other version", "nested/photo.bin": b"p" * 65536}, 1_600_000_000)
+    write(source, {**FILES, "draft*": b"x"})
+    write(target, {"index": b"autumn,winter", "scans/1987/plate": FILES["scans/1987/plate"]}, 1_600_000_000)
     plan = trees.plan_trees(spark, str(source), str(target))
     assert decisions(plan) == {
-        "notes.txt": ("Need", 0, "other hash"),
-        "nested/photo.bin": ("Skip", None, "same hash"),
-        "nested/data.bin": ("Need", 0, "missing"),
+        "index": ("Need", 0, "other hash"),
+        "scans/1987/plate": ("Skip", None, "same hash"),
+        "scans/key": ("Need", 0, "missing"),
     }
-    assert [r["path"] for r in plan.repairs.collect()] == [["nested", "photo.bin"]]
+    assert [r["path"] for r in plan.repairs.collect()] == [["scans", "1987", "plate"]]
     assert [r["rule"] for r in plan.rejects.collect()] == ["ForbiddenCharacter"]
-    assert {r["file_id"]: r["path"][-1] for r in plan.decisions.collect()} == {0: "photo.bin", 1: "data.bin", 2: "notes.txt"}
+    assert {r["file_id"]: r["path"][-1] for r in plan.decisions.collect()} == {0: "plate", 1: "key", 2: "index"}
     differing = trees.verify_trees(spark, str(source), str(target))
-    assert {r["path"][-1] for r in differing.collect()} == {"notes.txt", "data.bin", "what?.txt"}
+    assert {r["path"][-1] for r in differing.collect()} == {"index", "key", "draft*"}
     with pytest.raises(PathRefused):
         trees.plan_trees(spark, str(source), str(target), options=SyncOptions(strict=True))
 
@@ -48,17 +48,17 @@ def test_a_tree_is_compared_with_its_copy(spark, tmp_path):
 def test_an_interrupted_copy_goes_on_where_it_stopped(spark, tmp_path):
     source, target = tmp_path / "source", tmp_path / "target"
     write(source, FILES)
-    write(target, {"nested/photo.bin.part": b"p" * 1000, "notes.txt.part": b"fir"})
-    sha = plain_tree(FILES["nested/photo.bin"], 1024**2, 4096)
-    live = spark.createDataFrame([(["nested", "photo.bin"], (65536, 1_700_000_000, sha))], LIVE_STATE)
+    write(target, {"scans/1987/plate.part": b"\x07\xf0" * 350, "index.part": b"spr"})
+    sha = plain_tree(FILES["scans/1987/plate"], 1024**2, 4096)
+    live = spark.createDataFrame([(["scans", "1987", "plate"], (18000, 1_700_000_000, sha))], LIVE_STATE)
     plan = trees.plan_trees(spark, str(source), str(target), live)
     assert decisions(plan) == {
-        "nested/photo.bin": ("Need", 1000, "missing"),
-        "notes.txt": ("Need", 0, "missing"),
-        "nested/data.bin": ("Need", 0, "missing"),
+        "scans/1987/plate": ("Need", 700, "missing"),
+        "index": ("Need", 0, "missing"),
+        "scans/key": ("Need", 0, "missing"),
     }
     summary = plan.summary.first()
-    assert summary["planned_bytes"] == sum(map(len, FILES.values())) - 1000
+    assert summary["planned_bytes"] == sum(map(len, FILES.values())) - 700
 
 
 def test_a_known_file_is_not_opened_again(spark, tmp_path):
@@ -69,7 +69,7 @@ def test_a_known_file_is_not_opened_again(spark, tmp_path):
     assert plan.summary.first()["planned_files"] == 0
     stores.save_hash_cache(plan.cache_rows, str(tmp_path / "cache"), "1")
     cache = stores.load_hash_cache(spark, str(tmp_path / "cache"))
-    write(source, {"notes.txt": b"FIRST version"})
+    write(source, {"index": b"SPRING,summer"})
     stale = trees.plan_trees(spark, str(source), str(target), cache=cache)
     assert stale.summary.first()["planned_files"] == 0
     assert stale.cache_rows.count() == 0

@@ -1,57 +1,10 @@
-"""Which objects are worth compressing, and what compression saved."""
+"""What compression saved."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.functions.content import compressed_enough, is_already_compressed
 from tidemark.functions.formats import saved_percent
-from tidemark.schema import SAMPLE_BYTES, SAMPLE_LEVEL, WORTHWHILE_PERCENT
-
-
-def compression_plan(
-    df: DataFrame, name_col: str, body_col: str, compress: bool = True
-) -> DataFrame:
-    """Adds ``compressed``. The name settles it where it can; the others are sampled.
-
-    A Python function inside ``when`` would run for every row, so the rows the name settles are
-    a branch of their own and never reach Python. Only the sample crosses to it, not the body.
-    """
-    if not compress:
-        return df.withColumn("compressed", F.lit(False))
-    settled = df.filter(is_already_compressed(F.col(name_col))).withColumn(
-        "compressed", F.lit(False)
-    )
-    open_question = df.filter(~is_already_compressed(F.col(name_col)))
-    return settled.unionByName(sample_compression(open_question, body_col))
-
-
-def sample_compression(df: DataFrame, body_col: str) -> DataFrame:
-    """Adds ``compressed``: whether the first 256 KiB of the body shrink enough."""
-    sample = F.substring(F.col(body_col).cast("binary"), 1, SAMPLE_BYTES)
-    produced = _compressed_size(sample)
-    return df.withColumn("__produced", produced).select(
-        *df.columns,
-        F.coalesce(
-            compressed_enough(
-                F.least(F.octet_length(F.col(body_col).cast("binary")), F.lit(SAMPLE_BYTES)).cast(
-                    "bigint"
-                ),
-                F.col("__produced"),
-                WORTHWHILE_PERCENT,
-            ),
-            F.lit(False),
-        ).alias("compressed"),
-    )
-
-
-@F.pandas_udf(T.LongType())
-def _compressed_size(samples: pd.Series) -> pd.Series:
-    import zstandard
-
-    compressor = zstandard.ZstdCompressor(level=SAMPLE_LEVEL)
-    return samples.map(lambda body: len(compressor.compress(body)) if body else 0)
 
 
 def compression_savings(df: DataFrame, *group: str) -> DataFrame:

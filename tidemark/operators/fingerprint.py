@@ -96,12 +96,16 @@ def tree_digest(
     over once. One that fills a leaf exactly is hashed where it is and only its hash travels;
     only pieces that share a leaf are shuffled as bytes. No group is larger than one leaf or
     ``fan_out`` hashes, so one huge object is spread over as many tasks as it has leaves. It is a
-    different digest from SHA-256 of the whole.
+    different digest from SHA-256 of the whole. An object with a chunk that could not be read
+    (NULL data) has a NULL digest.
     """
     leaf = F.lit(leaf_bytes).cast("bigint")
     offset = F.col("offset")
     pieces = chunks.select(
-        "file_id", "offset", "data", F.octet_length("data").cast("bigint").alias("length")
+        "file_id",
+        "offset",
+        "data",
+        F.coalesce(F.octet_length("data"), F.lit(0)).cast("bigint").alias("length"),
     )
     last_byte = offset + F.greatest(F.col("length") - 1, F.lit(0))
     pieces = pieces.select(
@@ -119,13 +123,17 @@ def tree_digest(
             (end - begin).alias("size"),
             F.when(fills, fingerprint(F.col("data"))).alias("done"),
             F.when(~fills, part).alias("piece"),
+            F.col("data").isNotNull().alias("was_read"),
         )
         .groupBy("file_id", "leaf")
         .agg(
             F.sum("size").alias("size"),
-            F.coalesce(
-                F.max("done"),
-                F.sha2(F.expr("listagg(piece) WITHIN GROUP (ORDER BY begin)"), 256),
+            F.when(
+                F.bool_and("was_read"),
+                F.coalesce(
+                    F.max("done"),
+                    F.sha2(F.expr("listagg(piece) WITHIN GROUP (ORDER BY begin)"), 256),
+                ),
             ).alias("hash"),
         )
     )
@@ -139,16 +147,18 @@ def tree_digest(
         .groupBy("file_id", "branch")
         .agg(
             F.sum("size").alias("size"),
-            F.sha2(
-                F.expr("listagg(hash) WITHIN GROUP (ORDER BY leaf)").cast("binary"), 256
+            F.when(
+                F.bool_and(F.col("hash").isNotNull()),
+                F.sha2(F.expr("listagg(hash) WITHIN GROUP (ORDER BY leaf)").cast("binary"), 256),
             ).alias("hash"),
         )
     )
     return branches.groupBy("file_id").agg(
         F.sum("size").alias("size"),
-        F.sha2(F.expr("listagg(hash) WITHIN GROUP (ORDER BY branch)").cast("binary"), 256).alias(
-            "hash"
-        ),
+        F.when(
+            F.bool_and(F.col("hash").isNotNull()),
+            F.sha2(F.expr("listagg(hash) WITHIN GROUP (ORDER BY branch)").cast("binary"), 256),
+        ).alias("hash"),
     )
 
 

@@ -209,17 +209,38 @@ def idle_sessions(
 
 
 def handshake_timeouts(
-    openings: DataFrame, answers: DataFrame, key: list[str], within_us: int
+    openings: DataFrame,
+    answers: DataFrame,
+    key: list[str],
+    within_us: int,
+    rows_per_block: int | None = None,
 ) -> DataFrame:
-    """Openings with no answer in time. Each side is one row per key, so nothing multiplies."""
-    replied = answers.select(*key, F.col("ts_us").alias("answered_us"))
-    joined = openings.join(replied, key, "left")
-    waited = F.col("answered_us") - F.col("ts_us")
-    return joined.select(
+    """Every opening with the first answer of its key at or after it, in time or not.
+
+    Read from the end, the first answer still to come is a running maximum, so no opening meets
+    an answer in a join and a key with most of the traffic is cut into blocks. An answer may
+    serve several openings; one without any has a NULL answer and is not in time.
+    """
+    never = F.lit(None).cast("bigint")
+    rows = openings.select(*key, "ts_us", never.alias("__answer")).unionByName(
+        answers.filter(F.col("ts_us").isNotNull()).select(
+            *key, "ts_us", F.col("ts_us").alias("__answer")
+        )
+    )
+    is_opening = F.col("__answer").isNull().cast("int")
+    looked = with_running(
+        rows.withColumn("__before_end", -F.col("ts_us")).withColumn("__opens", is_opening),
+        key,
+        [F.col("__before_end"), F.col("__opens")],
+        {"__next": max_before(-F.col("__answer"))},
+        rows_per_block,
+    )
+    answered = -F.col("__next")
+    return looked.filter(F.col("__opens") == 1).select(
         *key,
         "ts_us",
-        "answered_us",
-        F.coalesce((waited >= 0) & (waited <= within_us), F.lit(False)).alias("in_time"),
+        answered.alias("answered_us"),
+        F.coalesce(answered - F.col("ts_us") <= within_us, F.lit(False)).alias("in_time"),
     )
 
 

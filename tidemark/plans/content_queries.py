@@ -211,18 +211,6 @@ def contiguous_prefix(spark, folder):
     return fi.contiguous_prefix(document_chunks(spark, folder, 1000).filter(~lost))
 
 
-@query()
-def compression_plan(spark, folder):
-    pages = table(spark, folder, "pages").select("page_id", "url", "html")
-    return co.compression_plan(pages, "url", "html").select("page_id", "compressed")
-
-
-@query()
-def sampled_documents(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return co.sample_compression(docs, "text").select("doc_id", "compressed")
-
-
 @query(
     """
 WITH moved AS (
@@ -288,22 +276,11 @@ def backoff_lineitem(spark, folder):
 
 
 @query(
-    """
-SELECT p_partkey, greatest(1, least(CAST(floor(p_retailprice * 100000) AS BIGINT) // 3145728, 16)) AS partitions,
-       greatest(1, least(CAST(floor(p_retailprice * 100000) AS BIGINT) // 3145728, 16)) * 3145728 AS reserved,
-       CASE WHEN p_size <> 0 THEN format('{:o}', 256 + p_size) END AS mode_text
-FROM part
-"""
+    "SELECT p_partkey, CASE WHEN p_size <> 0 THEN format('{:o}', 256 + p_size) END AS mode_text FROM part"
 )
-def planned_partitions(spark, folder):
-    budget = F.floor(F.col("p_retailprice") * 100000).cast("bigint")
-    plan = fm.plan_partitions(budget, F.lit(16).cast("bigint"))
+def part_modes(spark, folder):
     mode = F.when(F.col("p_size") != 0, F.lit(0o100000 + 256) + F.col("p_size")).otherwise(0)
-    return (
-        table(spark, folder, "part")
-        .select("p_partkey", plan.alias("plan"), fm.mode_octal(mode).alias("mode_text"))
-        .select("p_partkey", "plan.*", "mode_text")
-    )
+    return table(spark, folder, "part").select("p_partkey", fm.mode_octal(mode).alias("mode_text"))
 
 
 @query(

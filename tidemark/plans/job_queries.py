@@ -11,7 +11,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.scenarios import SQL_DOCUMENTS
 from tidemark.schema import SyncOptions
 from tidemark.sources import stores
-from tidemark.sources.shared import shared_folder
+from tidemark.sources.shared import settle, shared_folder
 from tidemark.sources.tree import fingerprint_files, inventory, split_inventory
 from tidemark.tables import table
 
@@ -136,11 +136,42 @@ def stored_manifest(spark, folder):
     )
 
 
-@query()
-def table_files(spark, folder):
-    """The files of the given tables themselves, listed and fingerprinted in pieces."""
-    accepted, _ = split_inventory(inventory(spark, folder))
-    digests = fingerprint_files(accepted.select("location", "size"))
-    return accepted.join(digests.select("location", "hash"), "location", "left").select(
-        F.array_join("path", "/").alias("path"), "size", "mtime", "mode", "hash"
+DOCUMENTS_PER_FILE = 1000
+
+
+@query(
+    f"""
+WITH placed AS (
+  SELECT concat('source=', source, '/part=', doc_id // {DOCUMENTS_PER_FILE}) AS folder, doc_id, encode(text || chr(10)) AS line
+  FROM documents
+), bodies AS (
+  SELECT folder, encode(string_agg(decode(line), '' ORDER BY doc_id)) AS body FROM placed GROUP BY 1
+), leaves AS (
+  SELECT folder, i, octet_length(body) AS size,
+         sha256(array_slice(body, i * 1048576 + 1, least((i + 1) * 1048576, octet_length(body)))) AS hash
+  FROM (SELECT *, unnest(generate_series(0, greatest((octet_length(body) + 1048575) // 1048576 - 1, 0))) AS i FROM bodies)
+), branches AS (
+  SELECT folder, i // 4096 AS b, any_value(size) AS size, sha256(string_agg(hash, '' ORDER BY i)) AS hash FROM leaves GROUP BY 1, 2
+)
+SELECT folder, CAST(any_value(size) AS BIGINT) AS size, sha256(string_agg(hash, '' ORDER BY b)) AS hash FROM branches GROUP BY 1
+"""
+)
+def written_files(spark, folder):
+    """Documents written out as files of up to a thousand lines, listed and fingerprinted in pieces."""
+    root = shared_folder(spark, "written")
+    docs = table(spark, folder, "documents").select(
+        "doc_id",
+        "source",
+        F.call_function("div", F.col("doc_id"), F.lit(DOCUMENTS_PER_FILE)).alias("part"),
+        "text",
+    )
+    ordered = docs.repartition("source", "part").sortWithinPartitions("source", "part", "doc_id")
+    ordered.select("source", "part", "text").write.partitionBy("source", "part").text(root)
+    accepted, _ = split_inventory(inventory(spark, root))
+    name = F.element_at("path", -1)
+    bodies = settle(accepted, "written-listing").filter(name.startswith("part-") & name.endswith(".txt"))
+    digests = fingerprint_files(bodies.select("location", "size"))
+    above = F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), "/")
+    return bodies.join(digests.select("location", "hash"), "location", "left").select(
+        above.alias("folder"), "size", "hash"
     )

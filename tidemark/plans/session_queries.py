@@ -225,23 +225,20 @@ def idle_sessions(spark, folder):
 @query(
     SQL_TRANSFERS
     + """
-, opened AS (SELECT user_id, min(ts_us) AS ts_us FROM transfers WHERE event_type = 'signup' GROUP BY 1),
-answered AS (SELECT user_id, min(ts_us) AS answered_us FROM transfers WHERE event_type = 'purchase' GROUP BY 1)
-SELECT user_id, ts_us, answered_us, coalesce(answered_us - ts_us BETWEEN 0 AND 86400000000, false) AS in_time
-FROM opened LEFT JOIN answered USING (user_id)
+, opened AS (SELECT user_id, ts_us FROM transfers WHERE event_type = 'signup'),
+answered AS (SELECT user_id, ts_us AS answered_us FROM transfers WHERE event_type = 'purchase')
+SELECT o.user_id, o.ts_us, a.answered_us, coalesce(a.answered_us - o.ts_us <= 86400000000, false) AS in_time
+FROM opened o ASOF LEFT JOIN answered a ON o.user_id = a.user_id AND a.answered_us >= o.ts_us
 """
 )
 def handshake_timeouts(spark, folder):
     log = sc.transfers(spark, folder).select("user_id", "event_type", "ts_us")
-
-    def first(kind):
-        return (
-            log.filter(F.col("event_type") == kind)
-            .groupBy("user_id")
-            .agg(F.min("ts_us").alias("ts_us"))
-        )
-
-    return se.handshake_timeouts(first("signup"), first("purchase"), ["user_id"], 86_400_000_000)
+    return se.handshake_timeouts(
+        log.filter(F.col("event_type") == "signup"),
+        log.filter(F.col("event_type") == "purchase"),
+        ["user_id"],
+        86_400_000_000,
+    )
 
 
 def turns_done(spark, folder):

@@ -8,7 +8,7 @@ from tidemark.functions.times import epoch_micros, utc_timestamp
 from tidemark.plans import scenarios as sc
 from tidemark.plans.registry import query
 from tidemark.plans.scenarios import SQL_DOCUMENTS
-from tidemark.plans.session_queries import PACE_RATE, SQL_JOURNAL, SQL_TRANSFERS, TURNS
+from tidemark.plans.session_queries import SQL_JOURNAL, SQL_TRANSFERS, TURNS
 from tidemark.sources.shared import shared_folder
 from tidemark.streaming import session_streams as ss, state_streams as st
 from tidemark.streaming.runs import append_available, latest, read_stream, update_available
@@ -90,13 +90,18 @@ WITH stepped AS (
          WHEN 'user' THEN 'assistant' WHEN 'assistant' THEN 'user' END AS expected FROM stepped
 )
 SELECT conv_id, seq, expected, kind AS got FROM steps WHERE kind <> expected
+UNION ALL
+SELECT conv_id, max(turn) + 1, 'assistant', 'END' FROM conversations GROUP BY 1 HAVING arg_max(role, turn) <> 'assistant'
 """
 )
 def stream_violations(spark, folder):
     log = as_turn_log(read_stream(spark, folder, "conversations"))
-    return appended(
-        spark, "stream_violations", ss.stream_violations(log, "conv_id", TURNS)
-    )
+    out, checkpoint = folders(spark, "stream_violations")
+    state = shared_folder(spark, "stream_violations-state")
+    finals = ["assistant"]
+    ss.run_violations(log, "conv_id", out, state, checkpoint, TURNS, finals)
+    found = spark.read.parquet(out).drop("batch")
+    return found.unionByName(ss.open_ends(spark, "conv_id", out, state, finals))
 
 
 @query(
@@ -203,28 +208,3 @@ def stream_handshakes(spark, folder):
         F.unix_micros("opened").alias("opened_us"),
         F.unix_micros("answered").alias("answered_us"),
     )
-
-
-@query(
-    f"""
-WITH RECURSIVE requests AS (
-  SELECT event_id, user_id, epoch_us(ts) AS ts_us, CAST(floor(round(value * 100)) AS HUGEINT) AS bytes,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events
-), served AS (
-  SELECT n, event_id, user_id, ts_us, 0::HUGEINT AS wait,
-         ts_us::HUGEINT * {PACE_RATE} - {PACE_RATE * 1_000_000} + bytes * 1000000 AS zero
-  FROM requests WHERE n = 1
-  UNION ALL
-  SELECT r.n, r.event_id, r.user_id, r.ts_us,
-         CASE WHEN zero > r.ts_us::HUGEINT * {PACE_RATE}
-              THEN greatest((zero - r.ts_us::HUGEINT * {PACE_RATE} + {PACE_RATE - 1}) // {PACE_RATE}, 1000) ELSE 0 END,
-         greatest(zero, r.ts_us::HUGEINT * {PACE_RATE} - {PACE_RATE * 1_000_000}) + r.bytes * 1000000
-  FROM served s JOIN requests r ON r.user_id = s.user_id AND r.n = s.n + 1
-)
-SELECT event_id, user_id, CAST(wait AS BIGINT) AS delay_us, CAST(ts_us + wait AS BIGINT) AS granted_us FROM served
-"""
-)
-def stream_pace(spark, folder):
-    paced = ss.stream_pace(timed_transfers(spark, folder), "user_id", PACE_RATE)
-    rows = appended(spark, "stream_pace", paced)
-    return rows.select(F.col("id").alias("event_id"), "user_id", "delay_us", "granted_us")

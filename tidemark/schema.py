@@ -107,9 +107,6 @@ PORTABLE = "portable"
 POSIX = "posix"
 STATE_DIR = ".tidemark"
 PARTIAL_SUFFIX = ".part"
-SAMPLE_BYTES = 256 * 1024
-SAMPLE_LEVEL = 3
-WORTHWHILE_PERCENT = 105
 BUFFER_BYTES = 1024**2
 PIPELINE_DEPTH = 3
 MIN_FRAME_BYTES = 64 * 1024

@@ -10,7 +10,6 @@ from __future__ import annotations
 import os
 import stat
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -37,6 +36,7 @@ GROUPS = 256
 EXPAND_LEVELS = 4
 ROWS_PER_BATCH = 8_192
 TASKS_PER_CORE = 4
+READ_BATCH_BYTES = 4 * 1024**2
 
 
 class Group(InputPartition):
@@ -62,7 +62,7 @@ class TreeSource(DataSource):
 
 class TreeReader(DataSourceReader):
     def __init__(self, options):
-        self.root = os.path.abspath(options["path"])
+        self.root = os.path.abspath(on_mount(options["path"]))
         self.follow = str(options.get("followLinks", "false")).lower() == "true"
         self.groups = int(options.get("groups", GROUPS))
 
@@ -224,11 +224,12 @@ def split_inventory(
 def read_contents(
     files: DataFrame, chunk_bytes: int = LEAF_BYTES, id_col: str = "file_id"
 ) -> DataFrame:
-    """Chunk rows of files with ``location`` and ``size``.
+    """Chunk rows of files with ``location`` and ``size``, on a mount every executor can reach.
 
     Pieces are dealt out to a fixed number of tasks, several per core: a row that names a piece
     is tiny however many bytes it stands for, so adaptive coalescing would put them all in one
-    task. A file that cannot be opened gives no rows, so its fingerprint stays unknown.
+    task. Every piece gives a row. Its data is NULL where the file is gone or may not be read,
+    or where the piece is not as long as the listed size says; any other error fails the task.
     """
     step = F.lit(chunk_bytes).cast("bigint")
     last = F.greatest(whole_div(F.col("size") + (chunk_bytes - 1), step) - 1, F.lit(0))
@@ -239,26 +240,80 @@ def read_contents(
         F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("__i"),
     ).select("file_id", "location", "size", (F.col("__i") * chunk_bytes).alias("offset"))
     kind = files.schema[id_col].dataType.simpleString()
-    tasks = TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism
+    spark = files.sparkSession
+    tasks = max(
+        TASKS_PER_CORE * spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+    )
     spread = pieces.repartition(tasks, F.col("file_id"), F.col("offset"))
 
     def read(batches):
         for batch in batches:
-            for file_id, location, offset in zip(
-                batch["file_id"], batch["location"], batch["offset"]
-            ):
-                try:
-                    with open(location, "rb") as body:
-                        body.seek(offset)
-                        data = body.read(chunk_bytes)
-                except OSError:
-                    continue
-                yield pd.DataFrame({"file_id": [file_id], "offset": [offset], "data": [data]})
-
-    return spread.mapInPandas(read, f"file_id {kind}, offset bigint, data binary")
+            ids, offsets = batch.column("file_id"), batch.column("offset")
+            places = zip(
+                batch.column("location").to_pylist(),
+                batch.column("size").to_pylist(),
+                offsets.to_pylist(),
+            )
+            begun, held, data = 0, 0, []
+            for at, (location, size, offset) in enumerate(places, 1):
+                piece = _piece(location, size, offset, chunk_bytes)
+                data.append(piece)
+                held += len(piece or b"")
+                if held >= READ_BATCH_BYTES or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            ids.slice(begun, len(data)),
+                            offsets.slice(begun, len(data)),
+                            pa.array(data, pa.binary()),
+                        ],
+                        ["file_id", "offset", "data"],
+                    )
+                    begun, held, data = at, 0, []
+
+    return spread.mapInArrow(read, f"file_id {kind}, offset bigint, data binary")
+
+
+def on_mount(location: str) -> str:
+    """A location as the local path it names; only paths and ``file:`` locations have one."""
+    if location.startswith("file:"):
+        return "/" + location.removeprefix("file:").lstrip("/")
+    if "://" in location:
+        raise ValueError(f"{location} is not on a mount; use fingerprint_objects")
+    return location
+
+
+def _piece(location: str, size: int, offset: int, chunk_bytes: int) -> bytes | None:
+    """One piece of a file, or None where the file does not hold it as listed."""
+    expected = min(chunk_bytes, size - offset)
+    is_last = offset + expected >= size
+    try:
+        with open(on_mount(location), "rb") as body:
+            body.seek(offset)
+            data = body.read(expected + is_last)
+    except (FileNotFoundError, NotADirectoryError, PermissionError):
+        return None
+    return data if len(data) == expected else None
 
 
 def fingerprint_files(files: DataFrame, id_col: str = "location") -> DataFrame:
-    """A digest per file from leaf-sized reads; only hashes are shuffled."""
+    """A digest per file from leaf-sized reads; only hashes are shuffled. A file that vanished,
+    may not be read or is not as long as listed has a NULL digest."""
     digests = tree_digest(read_contents(files, LEAF_BYTES, id_col))
     return digests.select(F.col("file_id").alias(id_col), "size", "hash")
+
+
+def fingerprint_objects(spark: SparkSession, root: str) -> DataFrame:
+    """``location, size, hash`` of all objects under a root without a mount.
+
+    Spark's own file source reads them, one object per row, so an object is bounded by
+    ``spark.sql.sources.binaryFile.maxLength`` and a longer one is an error, never skipped.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    chunks = files.select(
+        F.col("path").alias("file_id"),
+        F.lit(0).cast("bigint").alias("offset"),
+        F.col("content").alias("data"),
+    )
+    digests = tree_digest(chunks)
+    return digests.select(F.col("file_id").alias("location"), "size", "hash")

@@ -2,51 +2,99 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import sessions as se
-from tidemark.operators.pacing import MICROS, MIN_WAIT_US
-from tidemark.schema import BUFFER_BYTES
+from tidemark.sources.shared import settle
+from tidemark.streaming.runs import finish
 
 
-def stream_violations(
+LAST = "seq bigint, kind string, ts timestamp"
+
+
+def run_violations(
     log: DataFrame,
     session: str,
+    out: str,
+    state: str,
+    checkpoint: str,
     transitions: dict[str, list[str]],
-    first_seq: int = 0,
+    final_kinds: list[str] | None = None,
     within: str = "1 hour",
-) -> DataFrame:
-    """Messages that may not follow the one before.
-
-    A message meets its predecessor through a join on (session, seq), so a session with much of
-    the traffic is spread over all tasks instead of keeping its state in one. ``seq`` counts up
-    by one within a session. Two messages may be ``within`` apart.
+) -> None:
+    """Writes the messages that may not follow the one before, and the sessions that ended early.
+
+    Each micro-batch is judged by the batch plan, which cuts hot sessions, together with one
+    carried row per open session: its last message. Numbers may have gaps and messages may be any
+    time apart. A session silent for ``within`` behind the newest message is closed: it leaves the
+    state, and if its last kind isn't final that is a violation. ``open_ends`` tells the same of
+    those still open. A message not numbered above its session's last one came too late and is
+    left out. A batch replaces what it wrote before, and reads the state of the batch before it,
+    which stands beside its own; so a batch can be run again.
     """
-    rows = log.select(session, "seq", "kind", "ts").withWatermark("ts", within)
-    before = log.select(
-        F.col(session).alias("__session"),
-        (F.col("seq") + 1).alias("__seq"),
-        F.col("kind").alias("__before"),
-        F.col("ts").alias("__ts"),
-    ).withWatermark("__ts", within)
-    pairs = rows.join(
-        before,
-        (F.col(session) == F.col("__session"))
-        & (F.col("seq") == F.col("__seq"))
-        & (F.col("ts") >= F.col("__ts"))
-        & (F.col("ts") <= F.col("__ts") + F.expr(f"interval {within}")),
-    )
-    broken, expected = se.transition_violation(F.col("__before"), F.col("kind"), transitions)
-    steps = pairs.filter(broken).select(
-        session, "seq", expected.alias("expected"), F.col("kind").alias("got")
+    spark = log.sparkSession
+    finals = final_kinds or []
+    carried_schema = f"{session} {log.schema[session].dataType.simpleString()}, {LAST}"
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        carried = spark.createDataFrame([], carried_schema)
+        if batch_id:
+            carried = spark.read.schema(carried_schema).parquet(f"{state}/{(batch_id - 1) % 2}")
+        arrived = batch.select(session, "seq", "kind", "ts")
+        known = carried.select(session, F.col("seq").alias("__last"), F.lit(True).alias("__open"))
+        fresh = (
+            arrived.join(known, session, "left")
+            .filter(F.col("__open").isNull() | (F.col("seq") > F.col("__last")))
+            .drop("__last", "__open")
+        )
+        # A carried message was judged in its own batch; here it is only what went before.
+        together = fresh.withColumn("__judged", F.lit(False)).unionByName(
+            carried.withColumn("__judged", F.lit(True))
+        )
+        together = settle(together, "violations-batch")
+        steps = se.protocol_violations(together.drop("__judged"), session, transitions)
+        again = together.filter("__judged").select(session, "seq")
+        steps = steps.join(again, [session, "seq"], "left_anti")
+        last = together.groupBy(session).agg(
+            F.max_by(F.struct("seq", "kind", "ts"), "seq").alias("last"), F.max("ts").alias("seen")
+        )
+        newest = together.agg(F.max("ts") - F.expr(f"interval {within}")).scalar()
+        closing = F.coalesce(F.col("seen") < newest, F.lit(False))
+        last = settle(last.withColumn("closing", closing), "violations-state")
+        last.filter(~F.col("closing")).select(session, "last.*").write.mode("overwrite").parquet(
+            f"{state}/{batch_id % 2}"
+        )
+        found = steps
+        if finals:
+            closed = last.filter("closing").select(session, "last.*")
+            found = steps.unionByName(early_ends(closed, session, finals))
+        found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = (
+        log.writeStream.foreachBatch(judge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
     )
-    broken, expected = se.transition_violation(F.lit(se.START), F.col("kind"), transitions)
-    openings = rows.filter((F.col("seq") == first_seq) & broken).select(
-        session, "seq", expected.alias("expected"), F.col("kind").alias("got")
+    finish(writer, spark)
+
+
+def early_ends(last: DataFrame, session: str, final_kinds: list[str]) -> DataFrame:
+    """Sessions, given by their last messages, whose last kind isn't final."""
+    return last.filter(~F.col("kind").isin(*final_kinds)).select(
+        session,
+        (F.col("seq") + 1).alias("seq"),
+        F.lit(" or ".join(final_kinds)).alias("expected"),
+        F.lit(se.END).alias("got"),
     )
-    return steps.unionByName(openings)
+
+
+def open_ends(
+    spark: SparkSession, session: str, out: str, state: str, final_kinds: list[str]
+) -> DataFrame:
+    """Sessions still open after the last batch whose last kind isn't final."""
+    written = spark.read.option("recursiveFileLookup", "false").parquet(out)
+    batch = written.agg(F.max("batch")).first()[0]
+    return early_ends(spark.read.parquet(f"{state}/{batch % 2}"), session, final_kinds)
 
 
 def stream_idle_sessions(
@@ -120,46 +168,3 @@ def live_progress(
         )
         .select(*session, F.col("span.start").alias("started"), "files", "bytes", "wire_bytes")
     )
-
-
-def stream_pace(requests: DataFrame, key: str, rate: int) -> DataFrame:
-    """Token-bucket grants as requests arrive: (key, id, ts_us, delay_us, granted_us).
-
-    The state of a key is one number, the point at which its bucket is level again. The rows of
-    a key in one micro-batch are put in order first, so the size of a micro-batch (the source's
-    ``maxBytesPerTrigger``) bounds what a task holds. In a batch job, ``operators.pacing.pace``
-    does the same without putting a key in one task.
-    """
-    output = f"{key} bigint, id bigint, ts_us bigint, delay_us bigint, granted_us bigint"
-    second = rate * MICROS
-    opening = min(rate, BUFFER_BYTES) * MICROS
-
-    def grant(name, batches, state: GroupState):
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "id"])
-        level = int(state.get[0]) if state.exists else None
-        delays = []
-        for ts_us, size in zip(rows["ts_us"].tolist(), rows["bytes"].tolist()):
-            clock = ts_us * rate
-            if level is None:
-                level = clock - opening
-            short = level - clock
-            delays.append(max(-(-short // rate), MIN_WAIT_US) if short > 0 else 0)
-            level = max(level, clock - second) + size * MICROS
-        state.update((str(level),))
-        yield pd.DataFrame(
-            {
-                key: name[0],
-                "id": rows["id"].to_numpy(),
-                "ts_us": rows["ts_us"].to_numpy(),
-                "delay_us": delays,
-                "granted_us": rows["ts_us"].to_numpy() + delays,
-            }
-        )
-
-    return (
-        requests.select(key, "id", "ts_us", "bytes")
-        .groupBy(key)
-        .applyInPandasWithState(
-            grant, output, "level string", "append", GroupStateTimeout.NoTimeout
-        )
-    )
