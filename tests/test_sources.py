@@ -42,8 +42,8 @@ def listed(df):
 def test_everything_regular_is_listed(spark, tmp_path):
     files = make_tree(tmp_path)
     expected = {name: (len(body), 1_700_000_000) for name, body in files.items()}
-    for groups in (256, 2, 1):
-        df = tree.inventory(spark, str(tmp_path), groups=groups)
+    for root in (str(tmp_path), f"file://{tmp_path}"):
+        df = tree.inventory(spark, root)
         assert listed(df) == expected
         assert df.count() == len(files)
     modes = {r["mode"] & 0o777 for r in tree.inventory(spark, str(tmp_path)).collect()}
@@ -62,7 +62,7 @@ def test_a_link_back_up_is_an_error(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "b" / "up").symlink_to(tmp_path / "a")
     with pytest.raises(Exception, match="links back"):
-        tree.inventory(spark, str(tmp_path), follow_links=True, groups=1).count()
+        tree.inventory(spark, str(tmp_path), follow_links=True).count()
 
 
 def test_a_file_is_a_tree_of_one(spark, tmp_path):

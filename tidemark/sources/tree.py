@@ -1,26 +1,26 @@
 """Inventory of a directory tree on a mount every executor can reach.
 
-The listing is a Python data source: the first levels are expanded on the driver into a bounded
-number of directory groups, and each group is walked by its own task. Names are all that is
-listed; contents are read by ``read_contents``, in pieces, so one huge file is many tasks.
+Folders are listed level by level, each level as one job. Names are all that is listed; contents
+are read by ``read_contents``, in pieces, so one huge file is many tasks.
 """
 
 from __future__ import annotations
 
 import os
 import stat
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions.formats import whole_div
 from tidemark.functions.paths import validate_path
 from tidemark.operators.fingerprint import LEAF_BYTES, tree_digest
 from tidemark.operators.manifest import drop_state_dir
 from tidemark.schema import STATE_DIR, Limits
+from tidemark.sources.shared import settle
 
-SOURCE = "tidemark_tree"
 LISTED = "path array<string>, size bigint, mtime bigint, mode int, location string, utf8 boolean"
 ARROW = pa.schema(
     [
@@ -32,151 +32,110 @@ ARROW = pa.schema(
         ("utf8", pa.bool_()),
     ]
 )
-GROUPS = 256
-EXPAND_LEVELS = 4
 ROWS_PER_BATCH = 8_192
 TASKS_PER_CORE = 4
+ENTRIES_PER_TASK = 1_000
 READ_BATCH_BYTES = 4 * 1024**2
 
+FOUND = "at binary, is_folder boolean, above array<string>"
+FOUND_ARROW = pa.schema(
+    [("at", pa.binary()), ("is_folder", pa.bool_()), ("above", pa.list_(pa.string()))]
+)
 
-class Group(InputPartition):
-    """Directories for one task; a shallow one gives only its own files."""
-
-    def __init__(self, shallow: list[str], deep: list[str]):
-        super().__init__(None)
-        self.shallow = shallow
-        self.deep = deep
-
-
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls):
-        return SOURCE
-
-    def schema(self):
-        return LISTED
-
-    def reader(self, schema):
-        return TreeReader(self.options)
-
-
-class TreeReader(DataSourceReader):
-    def __init__(self, options):
-        self.root = os.path.abspath(on_mount(options["path"]))
-        self.follow = str(options.get("followLinks", "false")).lower() == "true"
-        self.groups = int(options.get("groups", GROUPS))
-
-    def partitions(self):
-        if os.path.isfile(self.root):
-            return [Group([self.root], [])]
-        os.listdir(self.root)
-        shallow, deep = [], [self.root]
-        for _ in range(EXPAND_LEVELS):
-            if not deep or len(deep) >= self.groups:
-                break
-            shallow += deep
-            deep = [folder for parent in deep for folder in self._folders(parent)]
-        n = self.groups
-        return [
-            Group(shallow[i::n], deep[i::n]) for i in range(n) if shallow[i::n] or deep[i::n]
-        ]
-
-    def read(self, partition):
-        rows = []
-        for row in self._rows(partition):
-            rows.append(row)
-            if len(rows) == ROWS_PER_BATCH:
-                yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
-
-    def _rows(self, partition):
-        for start in partition.shallow:
-            if os.path.isfile(start):
-                yield self._row(start, os.stat(start))
-            else:
-                yield from self._files(start)
-        pending = [(folder, self._trail(folder)) for folder in partition.deep]
-        while pending:
-            folder, trail = pending.pop()
-            yield from self._files(folder)
-            for child in self._folders(folder):
-                pending.append((child, self._step(child, trail)))
-
-    def _entries(self, folder):
-        """What a folder holds; a folder that vanished holds nothing, other errors are fatal."""
-        try:
-            with os.scandir(folder) as entries:
-                yield from entries
-        except FileNotFoundError:
-            return
-
-    def _folders(self, folder):
-        return [
-            entry.path
-            for entry in self._entries(folder)
-            if entry.name != STATE_DIR and entry.is_dir(follow_symlinks=self.follow)
-        ]
-
-    def _files(self, folder):
-        for entry in self._entries(folder):
-            try:
-                if entry.is_file(follow_symlinks=self.follow):
-                    yield self._row(entry.path, entry.stat(follow_symlinks=self.follow))
-            except FileNotFoundError:
-                continue
-
-    def _trail(self, folder):
-        """Identities of the folders above, to notice a link that leads back to one of them."""
-        if not self.follow:
-            return frozenset()
-        trail, at = set(), folder
-        while True:
-            facts = os.stat(at)
-            trail.add((facts.st_dev, facts.st_ino))
-            if at == self.root:
-                return frozenset(trail)
-            at = os.path.dirname(at)
-
-    def _step(self, folder, trail):
-        if not self.follow:
-            return trail
-        facts = os.stat(folder)
-        here = (facts.st_dev, facts.st_ino)
-        if here in trail:
-            raise OSError(f"{folder} links back to a folder above it")
-        return trail | {here}
-
-    def _row(self, location, facts):
-        relative = os.path.relpath(location, self.root)
-        if relative == ".":
-            relative = os.path.basename(location)
-        parts = relative.split("/")
-        clean = [part.encode("utf-8", "backslashreplace").decode("utf-8") for part in parts]
-        mode = facts.st_mode
-        return {
-            "path": clean,
-            "size": facts.st_size,
-            "mtime": max(facts.st_mtime_ns // 1_000_000_000, 0),
-            "mode": mode if stat.S_ISREG(mode) else 0,
-            "location": location.encode("utf-8", "backslashreplace").decode("utf-8"),
-            "utf8": clean == parts,
-        }
-
-
-def inventory(
-    spark: SparkSession, root: str, follow_links: bool = False, groups: int = GROUPS
-) -> DataFrame:
-    """Every regular file under ``root``, hidden ones included; a file is a tree of one."""
-    spark.dataSource.register(TreeSource)
-    listed = (
-        spark.read.format(SOURCE)
-        .option("followLinks", str(follow_links).lower())
-        .option("groups", str(groups))
-        .load(root)
+
+def _in_batches(rows, schema):
+    rows = iter(rows)
+    while some := list(islice(rows, ROWS_PER_BATCH)):
+        yield pa.RecordBatch.from_pylist(some, schema=schema)
+
+
+def _identity(facts) -> str:
+    return f"{facts.st_dev}:{facts.st_ino}"
+
+
+def _children(folder: bytes, above: list[str], follow: bool):
+    """Files and folders in a folder; one that vanished holds nothing, other errors are fatal.
+
+    ``above`` identifies the folders on the way, to notice a link that leads back to one of them.
+    """
+    try:
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                if entry.is_dir(follow_symlinks=follow):
+                    if entry.name == os.fsencode(STATE_DIR):
+                        continue
+                    trail = above
+                    if follow:
+                        here = _identity(os.stat(entry.path))
+                        if here in above:
+                            raise OSError(f"{entry.path!r} links back to a folder above it")
+                        trail = [*above, here]
+                    yield {"at": entry.path, "is_folder": True, "above": trail}
+                elif entry.is_file(follow_symlinks=follow):
+                    yield {"at": entry.path, "is_folder": False, "above": []}
+    except FileNotFoundError:
+        return
+
+
+def _facts(at: bytes, base: bytes, follow: bool):
+    """The row of a file, or nothing where it vanished or became something else."""
+    try:
+        facts = os.stat(at, follow_symlinks=follow)
+    except FileNotFoundError:
+        return
+    if not stat.S_ISREG(facts.st_mode):
+        return
+    relative = os.path.basename(at) if at == base else os.path.relpath(at, base)
+    parts = os.fsdecode(relative).split("/")
+    clean = [part.encode("utf-8", "backslashreplace").decode("utf-8") for part in parts]
+    yield {
+        "path": clean,
+        "size": facts.st_size,
+        "mtime": max(facts.st_mtime_ns // 1_000_000_000, 0),
+        "mode": facts.st_mode,
+        "location": os.fsdecode(at).encode("utf-8", "backslashreplace").decode("utf-8"),
+        "utf8": clean == parts,
+    }
+
+
+def _tasks(spark: SparkSession, rows: int, rows_per_task: int = 1) -> int:
+    most = max(
+        TASKS_PER_CORE * spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
     )
-    return drop_state_dir(listed)
+    return max(1, min(-(-rows // rows_per_task), most))
+
+
+def inventory(spark: SparkSession, root: str, follow_links: bool = False) -> DataFrame:
+    """Every regular file under ``root``, hidden ones included; a file is a tree of one.
+
+    A job per level lists the folders of that level, each folder in one task, and writes what it
+    found; only the number of folders comes to the driver. Sizes and times are then taken file by
+    file, spread over all tasks, so a folder with most of the files is no bottleneck there.
+    """
+    base = os.fsencode(os.path.abspath(on_mount(root)))
+    facts = os.stat(base)
+    is_folder = stat.S_ISDIR(facts.st_mode)
+    start = [(bytearray(base), is_folder, [_identity(facts)] if follow_links else [])]
+    levels = [settle(spark.createDataFrame(start, FOUND), "tree-level")]
+
+    def expand(batches):
+        for batch in batches:
+            pairs = zip(batch.column("at").to_pylist(), batch.column("above").to_pylist())
+            found = (row for at, above in pairs for row in _children(at, above, follow_links))
+            yield from _in_batches(found, FOUND_ARROW)
+
+    def look(batches):
+        for batch in batches:
+            found = (row for at in batch.column("at").to_pylist() for row in _facts(at, base, follow_links))
+            yield from _in_batches(found, ARROW)
+
+    while folders := levels[-1].filter("is_folder").count():
+        frontier = levels[-1].filter("is_folder").repartition(_tasks(spark, folders), "at")
+        levels.append(settle(frontier.mapInArrow(expand, FOUND), "tree-level"))
+    files = reduce(DataFrame.unionByName, levels).filter("NOT is_folder").select("at")
+    spread = files.repartition(_tasks(spark, files.count(), ENTRIES_PER_TASK), "at")
+    return drop_state_dir(spread.mapInArrow(look, LISTED))
 
 
 def object_store_inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -240,11 +199,7 @@ def read_contents(
         F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("__i"),
     ).select("file_id", "location", "size", (F.col("__i") * chunk_bytes).alias("offset"))
     kind = files.schema[id_col].dataType.simpleString()
-    spark = files.sparkSession
-    tasks = max(
-        TASKS_PER_CORE * spark.sparkContext.defaultParallelism,
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-    )
+    tasks = _tasks(files.sparkSession, 2**31 - 1)
     spread = pieces.repartition(tasks, F.col("file_id"), F.col("offset"))
 
     def read(batches):
