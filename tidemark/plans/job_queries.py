@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.content import byte_size, fingerprint
-from tidemark.operators import diff, manifest as man
+from tidemark.operators import diff, manifest as man, state
 from tidemark.plans import scenarios as sc, sync
 from tidemark.plans.registry import query
 from tidemark.plans.scenarios import SQL_DOCUMENTS
@@ -175,3 +175,67 @@ def written_files(spark, folder):
     return bodies.join(digests.select("location", "hash"), "location", "left").select(
         above.alias("folder"), "size", "hash"
     )
+
+
+@query(
+    """
+WITH first AS (
+  SELECT user_id, min(event_id) FILTER (event_type = 'signup') AS signed, min(event_id) FILTER (event_type = 'purchase') AS bought FROM events GROUP BY 1
+)
+SELECT 'u' || user_id AS path, coalesce(bought, signed) AS size, user_id AS mtime FROM first
+WHERE CASE WHEN bought IS NULL THEN signed IS NOT NULL ELSE user_id % 3 <> 0 END
+"""
+)
+def journal_across_runs(spark, folder):
+    """Two interrupted runs and what is under way after them. The second run's numbers start anew
+    and may lie below the first one's; it forgets some of its objects."""
+    events = table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    state_folder = shared_folder(spark, "journal")
+    snapshot, journal = f"{state_folder}/snapshot", f"{state_folder}/journal"
+
+    def needs(kind):
+        first = events.filter(F.col("event_type") == kind).groupBy("user_id")
+        return first.agg(F.min("event_id").alias("file_id")).select(
+            "file_id",
+            F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("path"),
+            F.col("file_id").alias("size"),
+            F.col("user_id").alias("mtime"),
+            F.lit(None).cast("string").alias("hash"),
+        )
+
+    for kind in ("signup", "purchase"):
+        stores.compact(spark, snapshot, journal)
+        stores.append_journal(state.started_records(needs(kind)), journal)
+    done = needs("purchase").filter(F.col("mtime") % 3 == 0)
+    above = events.agg(F.max("event_id")).first()[0] or 0
+    stores.append_journal(state.forgot_records(done, above + 1), journal)
+    stores.compact(spark, snapshot, journal)
+    live = stores.load_live_state(spark, snapshot, journal)
+    return live.select(
+        F.array_join("path", "/").alias("path"),
+        F.col("expected.size").alias("size"),
+        F.col("expected.mtime").alias("mtime"),
+    )
+
+
+@query(
+    """
+SELECT 'd/' || doc_id AS path, CAST(strlen(text) AS BIGINT) AS size, doc_id AS mtime,
+       CASE WHEN doc_id % 2 = 0 THEN sha256(text || '+') ELSE sha256(text) END AS hash
+FROM documents
+"""
+)
+def stored_hash_cache(spark, folder):
+    """A cache written by two runs, where the later one knows better."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    stored = shared_folder(spark, "hash-cache")
+    later = docs.filter(F.col("doc_id") % 2 == 0)
+    for run, rows, added in (("run-1", docs, ""), ("run-2", later, "+")):
+        hashed = rows.select(
+            F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("path"),
+            byte_size(F.col("text")).alias("size"),
+            F.col("doc_id").alias("mtime"),
+            fingerprint(F.concat("text", F.lit(added))).alias("hash"),
+        )
+        stores.save_hash_cache(hashed, stored, run)
+    return stores.load_hash_cache(spark, stored)

@@ -12,6 +12,7 @@ from tidemark.plans.session_queries import SQL_JOURNAL, SQL_TRANSFERS, TURNS
 from tidemark.sources.shared import shared_folder
 from tidemark.streaming import session_streams as ss, state_streams as st
 from tidemark.streaming.runs import append_available, latest, read_stream, update_available
+from tidemark.tables import table
 
 
 def folders(spark, name):
@@ -24,17 +25,16 @@ def appended(spark, name, stream):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query(
+SQL_LIVE = (
     SQL_JOURNAL
     + """
 SELECT user_id, path, max(seq) AS size, user_id AS mtime FROM journal WHERE ok
 GROUP BY user_id, path HAVING arg_max(op, seq) = 'started'
 """
 )
-def stream_state(spark, folder):
-    journal = sc.as_journal(read_stream(spark, folder, "events"))
-    out, checkpoint = folders(spark, "stream_state")
-    update_available(st.stream_state(journal, ["user_id"]), out, checkpoint)
+
+
+def live_rows(spark, out):
     live = st.still_live(latest(spark, out, ["user_id", "path"]))
     return live.select(
         "user_id",
@@ -44,6 +44,27 @@ def stream_state(spark, folder):
     )
 
 
+@query(SQL_LIVE)
+def stream_state(spark, folder):
+    journal = sc.as_journal(read_stream(spark, folder, "events"))
+    out, checkpoint = folders(spark, "stream_state")
+    update_available(st.stream_state(journal, ["user_id"]), out, checkpoint)
+    return live_rows(spark, out)
+
+
+@query(SQL_LIVE)
+def stream_restart(spark, folder):
+    """The same from two starts over one checkpoint; the second brings everything once more."""
+    events = table(spark, folder, "events")
+    arriving = shared_folder(spark, "stream_restart-events")
+    out, checkpoint = folders(spark, "stream_restart")
+    for part in (events.filter(F.col("event_id") % 2 == 1), events):
+        part.write.mode("append").parquet(arriving)
+        journal = sc.as_journal(spark.readStream.schema(events.schema).parquet(arriving))
+        update_available(st.stream_state(journal, ["user_id"]), out, checkpoint)
+    return live_rows(spark, out)
+
+
 @query(
     SQL_DOCUMENTS
     + "SELECT path, decision, reason, CASE WHEN decision = 'Need' THEN CAST(0 AS BIGINT) END AS from_offset FROM decided"
