@@ -65,6 +65,13 @@ def test_a_torn_line_on_disk_ends_the_journal(spark, tmp_path):
     assert live(state.replay(stores.load_journal(spark, folder))) == {("a",): 1, ("b",): 1}
 
 
+def test_a_file_with_nothing_but_a_torn_line_spares_the_others(spark, tmp_path):
+    folder = tmp_path / "journal"
+    stores.append_journal(spark.createDataFrame([record(3, "started", "a")], JOURNAL).coalesce(1), str(folder))
+    (folder / "part-torn.json").write_text('{"seq":1,"op":"forg')
+    assert live(state.replay(stores.load_journal(spark, str(folder)))) == {("a",): 1}
+
+
 def test_compaction_keeps_the_state_and_empties_the_journal(spark, tmp_path):
     journal, snapshot = str(tmp_path / "journal"), str(tmp_path / "snapshot")
     assert stores.compact(spark, snapshot, journal) is False

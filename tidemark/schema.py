@@ -172,8 +172,6 @@ class SyncOptions:
 
     checksum: bool = False
     prehash: bool = True
-    compress: bool = True
     dry_run: bool = False
     strict: bool = False
     limits: Limits = Limits()
-    retry: RetryPolicy = RetryPolicy()

@@ -51,8 +51,8 @@ def load_journal(spark: SparkSession, folder: str) -> DataFrame:
     """Journal records; a line that does not parse becomes a record with ``ok`` false.
 
     A crash leaves a torn line at the end of its file, so it stands right behind the highest
-    number of that file. A file with nothing but a torn line gives number zero, which discards
-    the journal.
+    number of that file. A file with nothing but a torn line says nothing of where the journal
+    ends, and is left out.
     """
     if not exists(spark, folder):
         return empty(spark, JOURNAL)
@@ -71,9 +71,9 @@ def load_journal(spark: SparkSession, folder: str) -> DataFrame:
     torn = (
         lines.groupBy("__file")
         .agg(F.count("_torn").alias("torn"), F.max("seq").alias("top"))
-        .filter(F.col("torn") > 0)
+        .filter((F.col("torn") > 0) & F.col("top").isNotNull())
         .select(
-            F.coalesce(F.col("top") + 1, F.lit(0)).cast("bigint").alias("seq"),
+            (F.col("top") + 1).cast("bigint").alias("seq"),
             F.lit(None).cast("string").alias("op"),
             F.lit(None).cast("array<string>").alias("path"),
             F.lit(None).cast(JOURNAL["expected"].dataType).alias("expected"),
@@ -84,7 +84,11 @@ def load_journal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    return read_current(spark, folder, LIVE_STATE)
+    """The folded journal; files that cannot be read are left out, their objects start over."""
+    version = current_version(spark, folder)
+    if version is None:
+        return empty(spark, LIVE_STATE)
+    return read_or_empty(spark, f"{folder.rstrip('/')}/{VERSIONS}/{version}", LIVE_STATE)
 
 
 def load_live_state(
@@ -157,11 +161,11 @@ def current_version(spark: SparkSession, dest: str) -> str | None:
 
 
 def read_current(spark: SparkSession, dest: str, schema: T.StructType) -> DataFrame:
-    """The published version, or no rows before the first one."""
+    """The published version, or no rows before the first one. A damaged file is an error."""
     version = current_version(spark, dest)
     if version is None:
         return empty(spark, schema)
-    return read_or_empty(spark, f"{dest.rstrip('/')}/{VERSIONS}/{version}", schema)
+    return spark.read.schema(schema).parquet(f"{dest.rstrip('/')}/{VERSIONS}/{version}")
 
 
 def _point(spark: SparkSession, dest: str, version: str) -> None:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.paths import validate_path
 from tidemark.operators import diff
 from tidemark.schema import LimitExceeded, Limits
+from tidemark.sources.shared import settle
 from tidemark.streaming.runs import finish
 
 
@@ -49,17 +50,25 @@ def run_sync(
 ) -> None:
     """Writes the answers batch by batch, and stops once more files are wanted than allowed.
 
-    Wanted rows are counted over everything written so far plus this batch, so many small
-    batches cannot get past the bound. A batch run again replaces its own answers.
+    The target's listing is settled once for all batches. A batch adds its wanted rows to the
+    number the batch before it left, so many small batches cannot get past the bound and none
+    reads what others wrote. A batch run again replaces its own answers and its own number.
     """
+    spark = manifest.sparkSession
+    held = settle(target, "stream-target")
+    totals = f"{out.rstrip('/')}.wanted"
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        decided = diff.decide(batch, target, partials)
-        decided.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        decided = diff.decide(batch, held, partials)
+        answers = f"{out}/batch={batch_id}"
+        decided.write.mode("overwrite").parquet(answers)
         if limits.max_files is None:
             return
-        wanted = spark.read.parquet(out).filter(F.col("decision") == "Need").count()
+        wanted = spark.read.parquet(answers).filter(F.col("decision") == "Need").count()
+        if batch_id:
+            wanted += spark.read.parquet(f"{totals}/{(batch_id - 1) % 2}").first()[0]
+        total = spark.createDataFrame([(wanted,)], "wanted bigint")
+        total.write.mode("overwrite").parquet(f"{totals}/{batch_id % 2}")
         if wanted > limits.max_files:
             raise LimitExceeded(f"max_files is {limits.max_files}, {wanted} are wanted")
 
@@ -68,7 +77,7 @@ def run_sync(
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
     )
-    finish(writer, manifest.sparkSession)
+    finish(writer, spark)
 
 
 def drop_redelivered(
