@@ -1,6 +1,6 @@
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from tidemark.operators import manifest as man
+from tidemark.operators import manifest as man, pacing, sessions
 from tidemark.operators.running import Ordered, count_before, max_before, previous, sum_before, with_running
 
 
@@ -61,20 +61,40 @@ def test_groups_of_several_columns(spark):
     assert by_array.exceptAll(with_running(df, ["h"], [F.col("id")], values())).count() == 0
 
 
-def test_small_groups_are_not_cut(spark):
-    df = spark.range(5000).select("id", (F.col("id") % 500).alias("g"), F.col("id").alias("v"))
-    assert Ordered.cut(df, ["g"], [F.col("id")], 100).is_cut is None
-    hot = Ordered.cut(skewed(spark), ["g"], [F.col("id")], 200)
-    cut = {r["g"] for r in hot.df.filter("__block >= 0").select("g").distinct().collect()}
-    assert "hot" in cut and len(cut) <= 4
-    assert hot.df.groupBy("g", "__block").count().agg(F.max("count")).first()[0] < 800
-
-
-def test_the_carry_is_broadcast(spark):
-    got = with_running(skewed(spark), ["g"], [F.col("id")], {"n": count_before()}, 200)
-    plan = got._jdf.queryExecution().toString()
-    assert "__block" in plan
-    assert "BroadcastHashJoin" in plan
+def test_only_groups_in_several_blocks_are_carried(spark):
+    cut = Ordered.cut(skewed(spark), ["g"], [F.col("id")], 200)
+    blocks = cut.df.groupBy("g").agg(F.count_distinct("__block").alias("n")).filter("n > 1")
+    split = {r["__s_g"] for r in cut.split.collect()}
+    assert split == {r["g"] for r in blocks.collect()} and {"hot", None} <= split
+    assert cut.df.groupBy("__block").count().agg(F.max("count")).first()[0] < 800
+    whole = Ordered.cut(spark.range(50).withColumn("g", F.lit(1)), ["g"], [F.col("id")])
+    assert whole.split.count() == 0
+
+
+def test_rounds_read_the_input_once(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    skewed(spark).withColumnRenamed("v", "ts_us").write.parquet(folder)
+    log = spark.read.parquet(folder)
+    for plan in (
+        sessions.idle_sessions(log, ["g"], [F.col("ts_us"), F.col("id")], 5, 200),
+        pacing.pace(log.withColumn("bytes", F.lit(9)), ["g"], [F.col("ts_us"), F.col("id")], 50, 200),
+    ):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert folder not in text and "BroadcastHashJoin" in text
+        assert text.count("Location:") <= 4
+
+
+def test_many_rows_agree_with_a_plain_window(spark):
+    df = spark.range(1_000_000).select(
+        "id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50_021).alias("g"), (F.col("id") * 7919 % 1009).alias("v")
+    )
+    before = Window.partitionBy("g").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.select(
+        F.count("*").over(before).alias("n"), F.coalesce(F.sum("v").over(before), F.lit(0)).alias("s"), "id"
+    )
+    got = with_running(df, ["g"], [F.col("id")], {"n": count_before(), "s": sum_before(F.col("v"))}, 50_000)
+    mark = F.sum(F.xxhash64("id", "n", "s").cast("decimal(38,0)"))
+    assert got.agg(F.count("*"), mark).first() == plain.agg(F.count("*"), mark).first()
 
 
 def test_global_order_with_ties_on_the_leading_key(spark):

@@ -2,28 +2,27 @@
 
 A window function sorts a whole group inside one task. That is fine until one group - or the
 one global group of a dense numbering - holds a large share of the rows. ``Ordered``
-therefore cuts the order ``(group, order)`` into blocks at sampled boundary keys:
+therefore cuts the order ``(group, order)`` into blocks, in the same way for every size:
 
-1. only groups that own several boundaries are cut; a row of such a group finds its block by
-   binary search in a literal array, every other group stays whole in a block of its own;
+1. the rows are shuffled once by range of ``(group, order)`` and written down with the number of
+   their range, the block; Spark samples the ranges and joins small ones, so a small input is
+   one block and a large one has as many as the session has shuffle partitions;
 2. a window inside (group, block) gives the running value local to the block;
-3. a group that is cut needs a carry from block to block. There are at most two such rows per
-   boundary, so adding them up and broadcasting them is bounded by the number of blocks.
+3. a group that lies in several blocks needs a carry from block to block. Such a group is the
+   first or the last of its block, so there are at most two such rows per block, and adding
+   them up and broadcasting them is bounded by the number of blocks.
 
-Any boundaries give the same result; they only decide how evenly the work is spread.
+Any blocks give the same result; they only decide how evenly the work is spread. The input is read
+once however many rounds follow, and each further round reads what the last one wrote.
 """
 
 from __future__ import annotations
 
-import json
-from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ROWS_PER_BLOCK = 250_000
-MAX_BLOCKS = 4_096
-SAMPLES_PER_BLOCK = 32
+from tidemark.sources.shared import settle
 
 
 @dataclass(frozen=True)
@@ -58,14 +57,13 @@ class Running:
             return F.max(column).over(window)
         return F.last(F.col(column), ignorenulls=True).over(window)
 
-    def join(self, local: Column, carried: Column | None) -> Column:
+    def join(self, local: Column, carried: Column) -> Column:
         if self.kind in ("count", "sum"):
             zero = F.lit(0)
-            total = F.coalesce(local, zero)
-            return total if carried is None else total + F.coalesce(carried, zero)
+            return F.coalesce(local, zero) + F.coalesce(carried, zero)
         if self.kind == "max":
-            return local if carried is None else F.greatest(local, carried)
-        return (local if carried is None else F.coalesce(local, carried))["value"]
+            return F.greatest(local, carried)
+        return F.coalesce(local, carried)["value"]
 
 
 def count_before() -> Running:
@@ -85,89 +83,67 @@ def previous(value: Column) -> Running:
 
 
 class Ordered:
-    """Rows in groups and in order, cut into blocks once for any number of running values.
+    """Rows in groups and in order, cut into blocks once for any number of running values."""
 
-    Several rounds over the same ``Ordered`` share one shuffle and one sort.
-    """
-
-    def __init__(self, df, group, order, is_cut=None):
+    def __init__(self, df, group, order, split, written=True):
         self.df = df
         self.group = group
         self.order = order
-        self.is_cut = is_cut
+        self.split = split
+        self.written = written
 
     @classmethod
     def cut(
         cls, df: DataFrame, group: list[str], order: list[Column], rows_per_block: int | None = None
     ) -> Ordered:
-        """``order`` must be ascending and decide every tie within a group. Order and group
-        columns may be integers, strings, or arrays of strings (negate a number to sort it
-        downwards)."""
-        rows_per_block = rows_per_block or ROWS_PER_BLOCK
-        rows = df.count()
-        blocks = min(MAX_BLOCKS, -(-rows // rows_per_block))
-        if blocks <= 1:
-            return cls(df, group, order)
-        key = cls._key(group, order)
-        bounds = _boundaries(df, key, len(group), rows, blocks)
-        if not bounds:
-            return cls(df, group, order)
-        is_cut = _among(df, group, bounds)
-        block = F.when(is_cut, _block_of(df, key, bounds)).otherwise(-1)
-        return cls(df.withColumn("__block", block), group, order, is_cut)
-
-    @staticmethod
-    def _key(group, order) -> Column:
-        names = [F.col(name).alias(f"g{i}") for i, name in enumerate(group)]
-        return F.struct(*names, *(column.alias(f"o{i}") for i, column in enumerate(order)))
+        """``order`` must be ascending and decide every tie within a group (negate a number to
+        sort it downwards). ``rows_per_block`` asks for blocks of a size, at the price of a count;
+        without it the session's shuffle partitions decide."""
+        keys = [*map(F.col, group), *order]
+        blocks = [] if rows_per_block is None else [max(1, -(-df.count() // rows_per_block))]
+        ranged = df.repartitionByRange(*blocks, *keys)
+        written = settle(ranged.withColumn("__block", F.spark_partition_id()), "ordered")
+        return cls(written, group, order, _split_groups(written, group))
 
     def running(self, values: dict[str, Running]) -> Ordered:
         """Adds one column per entry: its value over the earlier rows of the group."""
-        names = self.df.columns
-        if self.is_cut is None:
-            window = self._window(*self.group)
-            return self._with(
-                self.df.select(
-                    *names,
-                    *(run.join(run.over(window), None).alias(name) for name, run in values.items()),
-                )
-            )
-        window = self._window(*self.group, "__block")
-        local = self.df.select(
-            *names, *(run.over(window).alias(f"__local_{name}") for name, run in values.items())
+        df = self.df if self.written else settle(self.df, "ordered")
+        names = df.columns
+        window = (
+            Window.partitionBy(*self.group, "__block")
+            .orderBy(*self.order)
+            .rowsBetween(Window.unboundedPreceding, -1)
         )
-        carry = _carries(
-            self.df.filter(self.is_cut), self.group, self._key(self.group, self.order), values
+        local = df.select(
+            *names, *(run.over(window).alias(f"__local_{name}") for name, run in values.items())
         )
+        carry = _carries(self._split_rows(df), self.group, self.order, values)
         same = [local[name].eqNullSafe(carry[f"__c_{name}"]) for name in self.group]
         joined = local.join(
             F.broadcast(carry), [*same, local["__block"] == carry["__c_block"]], "left"
         )
-        return self._with(
-            joined.select(
-                *(local[name] for name in names),
-                *(
-                    run.join(local[f"__local_{name}"], carry[f"__carry_{name}"]).alias(name)
-                    for name, run in values.items()
-                ),
-            )
+        done = joined.select(
+            *(local[name] for name in names),
+            *(
+                run.join(local[f"__local_{name}"], carry[f"__carry_{name}"]).alias(name)
+                for name, run in values.items()
+            ),
         )
+        return Ordered(done, self.group, self.order, self.split, written=False)
 
     def with_columns(self, columns: dict[str, Column]) -> Ordered:
-        return self._with(self.df.withColumns(columns))
+        return Ordered(
+            self.df.withColumns(columns), self.group, self.order, self.split, self.written
+        )
 
     def done(self) -> DataFrame:
         return self.df.drop("__block")
 
-    def _window(self, *by):
-        return (
-            Window.partitionBy(*by)
-            .orderBy(*self.order)
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-
-    def _with(self, df) -> Ordered:
-        return Ordered(df, self.group, self.order, self.is_cut)
+    def _split_rows(self, df: DataFrame) -> DataFrame:
+        if self.split is None:
+            return df
+        same = [df[name].eqNullSafe(self.split[f"__s_{name}"]) for name in self.group]
+        return df.join(F.broadcast(self.split), same, "left_semi")
 
 
 def with_running(
@@ -181,66 +157,28 @@ def with_running(
     return Ordered.cut(df, group, order, rows_per_block).running(values).done()
 
 
-def _boundaries(
-    df: DataFrame, key: Column, n_group: int, rows: int, blocks: int
-) -> list[dict]:
-    """Evenly spaced sampled keys, fewer than ``blocks``, of groups that own several of them."""
-    fraction = min(1.0, SAMPLES_PER_BLOCK * blocks / rows)
-    sampled = df.select(key.alias("key"))
-    if fraction < 1.0:
-        sampled = sampled.sample(fraction=fraction, seed=17)
-    keys = [
-        row[0] for row in sampled.distinct().orderBy("key").select(F.to_json("key")).collect()
-    ]
-    step = max(1, len(keys) // blocks)
-    chosen = [json.loads(text) for text in keys[step::step]][: blocks - 1]
-    if n_group == 0:
-        return chosen
-    owners = [json.dumps([bound.get(f"g{i}") for i in range(n_group)]) for bound in chosen]
-    counts = Counter(owners)
-    return [bound for bound, owner in zip(chosen, owners) if counts[owner] > 1]
-
-
-def _among(df: DataFrame, group: list[str], bounds: list[dict]) -> Column:
-    """Whether a row's group is one of those that are cut."""
+def _split_groups(blocked: DataFrame, group: list[str]) -> DataFrame | None:
+    """The groups that lie in several blocks: each is the last one of some block and the first
+    one of another. Without groups every row belongs to the one that is split."""
     if not group:
-        return F.lit(True)
-    firsts = [bound.get("g0") for bound in bounds]
-    if len(group) == 1 and not any(isinstance(value, list) for value in firsts):
-        known = sorted({value for value in firsts if value is not None})
-        found = F.coalesce(F.col(group[0]).isin(known), F.lit(False)) if known else F.lit(False)
-        return found | F.col(group[0]).isNull() if None in firsts else found
-    wanted = []
-    for bound in bounds:
-        values = {f"g{i}": bound.get(f"g{i}") for i in range(len(group))}
-        if values not in wanted:
-            wanted.append(values)
-    own = F.struct(*(F.col(name).alias(f"g{i}") for i, name in enumerate(group)))
-    kind = df.select(own.alias("own")).schema["own"].dataType
-    listed = F.from_json(F.lit(json.dumps(wanted)), T.ArrayType(kind))
-    return F.array_contains(listed, own)
-
-
-def _block_of(df: DataFrame, key: Column, bounds: list[dict]) -> Column:
-    """How many boundaries are at or below the key, by binary search in a literal."""
-    kind = df.select(key.alias("key")).schema["key"].dataType
-    array = F.from_json(F.lit(json.dumps(bounds)), T.ArrayType(kind))
-    n = len(bounds)
-    steps = [1 << bit for bit in reversed(range(n.bit_length()))]
-    return F.aggregate(
-        F.array(*[F.lit(step) for step in steps]),
-        F.lit(0),
-        lambda found, step: F.when(
-            (found + step <= n) & (F.get(array, found + step - 1) <= key), found + step
-        ).otherwise(found),
+        return None
+    own = F.struct(*group)
+    ends = blocked.groupBy("__block").agg(F.array(F.min(own), F.max(own)).alias("ends"))
+    return (
+        ends.select("__block", F.explode("ends").alias("own"))
+        .groupBy("own")
+        .agg(F.min("__block").alias("first"), F.max("__block").alias("last"))
+        .filter(F.col("first") < F.col("last"))
+        .select(*(F.col("own")[name].alias(f"__s_{name}") for name in group))
     )
 
 
 def _carries(
-    cut: DataFrame, group: list[str], key: Column, values: dict[str, Running]
+    split: DataFrame, group: list[str], order: list[Column], values: dict[str, Running]
 ) -> DataFrame:
-    """What each block inherits from earlier blocks of its group; at most 2 rows a boundary."""
-    sums = cut.groupBy(*group, "__block").agg(
+    """What each block inherits from earlier blocks of its group; at most two rows a block."""
+    key = F.struct(*(column.alias(f"o{i}") for i, column in enumerate(order)))
+    sums = split.groupBy(*group, "__block").agg(
         *(run.of_block(key).alias(f"__sum_{name}") for name, run in values.items())
     )
     earlier = (
