@@ -51,6 +51,46 @@ def test_runs_move_only_what_changed(spark, tmp_path):
     assert sync.verify_sync(source, stores.read_current(spark, dest, source.schema)).count() == 1
 
 
+def folders(tmp_path, version):
+    return {p.name for p in (tmp_path / "dest" / "versions" / version).iterdir() if p.name.startswith("bucket=")}
+
+
+def test_one_changed_row_rewrites_one_bucket(spark, tmp_path):
+    dest = str(tmp_path / "dest")
+    tree = {f"shelf{i % 5}/book{i}": f"page {i}" for i in range(60)}
+    source = objects(spark, tree)
+    none = source.limit(0)
+    first = sync.apply_sync(sync.plan_sync(source, none), source, None, dest, buckets=16)
+    assert len(folders(tmp_path, first.version)) > 8
+    edited = objects(spark, {**tree, "shelf3/book3": "page 3, amended"})
+    plan = sync.plan_sync(edited, stores.read_current(spark, dest, source.schema))
+    second = sync.apply_sync(plan, edited, None, dest)
+    assert second.transferred.count() == 1 and len(folders(tmp_path, second.version)) == 1
+    assert bodies(stores.read_current(spark, dest, source.schema)) == bodies(edited)
+    same = sync.plan_sync(edited, stores.read_current(spark, dest, source.schema))
+    assert sync.apply_sync(same, edited, None, dest).version == second.version
+    stores.remove_unreferenced(spark, dest)
+    assert not folders(tmp_path, first.version) & folders(tmp_path, second.version)
+    assert bodies(stores.read_current(spark, dest, source.schema)) == bodies(edited)
+
+
+def test_resumed_objects_send_the_rest_and_are_hashed_whole(spark, tmp_path):
+    dest = str(tmp_path / "dest")
+    source = objects(spark, {"good": "ä" * 40, "wrong": "b" * 30, "lost": "c" * 20})
+    source = source.withColumn("size", F.octet_length("body").cast("bigint"))
+    expected = F.struct("size", "mtime", F.sha2("body", 256).alias("hash"))
+    partials = source.select("path", expected.alias("expected"), F.lit(11).cast("bigint").alias("bytes_on_disk"))
+    parts = source.filter("path[0] <> 'lost'").select(
+        "path", F.when(F.col("path")[0] == "wrong", F.lit(b"x" * 11)).otherwise(F.substring(F.col("body").cast("binary"), 1, 11)).alias("body")
+    )
+    plan = sync.plan_sync(source, source.limit(0), partials)
+    result = sync.apply_sync(plan, source, None, dest, part_bodies=parts)
+    assert {r["path"][0]: r["sent"] for r in result.transferred.collect()} == {"good": 69, "lost": 20}
+    assert [(r["path"][0], r["error"]) for r in result.failures.collect()] == [("wrong", "HashMismatch")]
+    assert bodies(stores.read_current(spark, dest, source.schema)) == {"good": "ä" * 40, "lost": "c" * 20}
+    assert sync.report(result, 1000).first()["bytes"] == 89
+
+
 def test_a_dry_run_promises_what_a_run_does(spark, tmp_path):
     dest = str(tmp_path / "dest")
     source, target = objects(spark, TREE), objects(spark, {"prices.csv": TREE["prices.csv"], "own": "kept"})

@@ -16,7 +16,7 @@ from tidemark.operators.sizes import BroadcastBound, fits
 from tidemark.operators.state import forgot_records, started_records
 from tidemark.schema import HASH_CACHE, MANIFEST, Limits, RetryPolicy, SyncOptions
 from tidemark.sources import stores
-from tidemark.sources.shared import settle
+from tidemark.sources.shared import discard, settle, shared_folder
 
 OBJECT_COLUMNS = ("path", "size", "mtime", "mode", "body")
 
@@ -161,24 +161,65 @@ def chosen_bodies(
     return source.join(needs, "path", "left_semi")
 
 
+def sent_bodies(
+    bodies: DataFrame, decisions: DataFrame, part_bodies: DataFrame | None
+) -> DataFrame:
+    """Bodies as the receiver puts them together, with the digest of what the sender has.
+
+    An object that goes on at ``from_offset`` is what the receiver holds up to there and the
+    source from there on; ``resumed`` is how many bytes did not have to be sent. Where the
+    receiver has no body, or a shorter one, the object is sent whole.
+    """
+    sent = bodies.withColumn("sent_hash", fingerprint(F.col("body")))
+    if part_bodies is None:
+        return sent.withColumn("resumed", F.lit(0).cast("bigint"))
+    man.assert_unique_paths(part_bodies, "partials")
+    at = F.col("from_offset").cast("int")
+    held = F.col("body").cast("binary")
+    parts = (
+        diff.needed(decisions)
+        .filter((F.col("from_offset") > 0))
+        .select("path", "from_offset")
+        .join(part_bodies.select("path", "body"), "path")
+        .filter(F.octet_length(held) >= at)
+        .select("path", "from_offset", F.substring(held, F.lit(1), at).alias("__part"))
+    )
+    whole = F.concat(F.col("__part"), F.substring(held, at + 1, F.octet_length(held)))
+    kind = bodies.schema["body"].dataType
+    resumed = F.col("__part").isNotNull()
+    return sent.join(parts, "path", "left").select(
+        *(name for name in sent.columns if name != "body"),
+        F.when(resumed, whole.cast(kind)).otherwise(F.col("body")).alias("body"),
+        F.when(resumed, F.col("from_offset")).otherwise(0).cast("bigint").alias("resumed"),
+    )
+
+
 def apply_sync(
     plan: SyncPlan,
     source: DataFrame,
-    target: DataFrame,
+    target: DataFrame | None,
     dest: str,
     state_folder: str | None = None,
     bound: BroadcastBound = BroadcastBound(),
+    part_bodies: DataFrame | None = None,
+    buckets: int | None = None,
 ) -> SyncResult:
     """Carries a plan out: journal, stage, verify, publish, forget.
 
     Bodies are staged with the digest of what was read; what was staged is read back and only
     rows that still match take part in the new version. The version is switched in one step.
+
+    ``target`` None means what is published at ``dest``, which the plan was made for: then only
+    buckets with a changed row are read and written. Another target is written whole. The first
+    version fixes the number of ``buckets``; the default is the session's shuffle partitions.
+    ``part_bodies`` (path, body) are what the receiver holds of unfinished objects; their hash is
+    taken again with that of the rest, and a wrong one fails the object.
     """
     spark = source.sparkSession
     wanted = diff.needed(plan.decisions)
     if plan.options.dry_run:
         nothing = stores.empty(spark, HASH_CACHE).select("path", "size", "hash")
-        return SyncResult(plan, nothing, nothing, None)
+        return SyncResult(plan, nothing.withColumn("sent", F.col("size")), nothing, None)
 
     if state_folder is not None:
         # What an interrupted run left is folded first: numbers start anew in an empty journal.
@@ -188,18 +229,23 @@ def apply_sync(
     bodies = chosen_bodies(
         source.select(*OBJECT_COLUMNS), plan.decisions, plan.options.limits, bound
     )
-    staged = settle(bodies.withColumn("sent_hash", fingerprint(F.col("body"))), "staged")
+    staging = shared_folder(spark, "staged")
+    staged = settle(
+        sent_bodies(bodies, plan.decisions, part_bodies), "staged", folder=staging
+    )
     offered = wanted.select("path", F.col("hash").alias("offered_hash"))
     received = staged.select(
         "path",
         "size",
         "sent_hash",
+        "resumed",
         fingerprint(F.col("body")).alias("hash"),
     )
     checked = offered.join(received, "path", "left").select(
         "path",
         "size",
         "hash",
+        (F.col("size") - F.col("resumed")).alias("sent"),
         F.coalesce(
             (F.col("hash") == F.col("sent_hash"))
             & (F.coalesce("offered_hash", "sent_hash") == F.col("hash")),
@@ -217,6 +263,17 @@ def apply_sync(
     marks = marks.unionByName(
         plan.repairs.select("path", F.lit(False).alias("__new"), F.col("new_mtime").alias("__mtime"))
     )
+    layout = None
+    if target is None:
+        layout = stores.bucket_map(spark, dest)
+        held_schema = source.select(*OBJECT_COLUMNS).schema
+        if layout is None:
+            target = stores.read_current(spark, dest, held_schema)
+        else:
+            bucket = stores.bucket_of(F.col("path"), layout.buckets).alias("bucket")
+            # No more of them than the published table has buckets.
+            touched = [row["bucket"] for row in marks.select(bucket).distinct().collect()]
+            target = stores.read_buckets(spark, dest, held_schema, layout, touched)
     few = fits(marks, bound)
     marks = F.broadcast(marks) if few else marks
     kept = (
@@ -228,7 +285,16 @@ def apply_sync(
     )
     good = F.broadcast(good) if few else good
     arrived = staged.select(*OBJECT_COLUMNS).join(good, "path", "left_semi")
-    version = stores.publish(kept.unionByName(arrived), dest)
+    if layout is None:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        version = stores.publish_buckets(kept.unionByName(arrived), dest, n)
+    elif touched:
+        version = stores.publish_buckets(
+            kept.unionByName(arrived), dest, layout.buckets, layout.versions
+        )
+    else:
+        version = stores.current_version(spark, dest)
+    discard(spark, staging)
 
     if state_folder is not None:
         first = (wanted.agg(F.max("file_id")).first()[0] or 0) + 1
@@ -236,7 +302,7 @@ def apply_sync(
         seen = wanted.join(verdicts.filter(~F.col("vanished")).select("path"), "path", "left_semi")
         stores.append_journal(forgot_records(seen, first), f"{state_folder}/journal")
         stores.compact(spark, f"{state_folder}/snapshot", f"{state_folder}/journal")
-    transferred = verdicts.filter(F.col("ok")).select("path", "size", "hash")
+    transferred = verdicts.filter(F.col("ok")).select("path", "size", "hash", "sent")
     return SyncResult(plan, transferred, failures, version)
 
 
@@ -278,10 +344,11 @@ def sync_with_retry(attempt_once, retry: RetryPolicy = RetryPolicy(), sleep=time
 
 
 def report(result: SyncResult, elapsed_ms: int) -> DataFrame:
-    """The closing block of a run as one row."""
+    """The closing block of a run as one row. What was resumed counts from where it went on;
+    bodies are sent as they are."""
     moved = result.transferred.agg(
         F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("size"), F.lit(0).cast("bigint")).alias("bytes"),
-        F.coalesce(F.sum("size"), F.lit(0).cast("bigint")).alias("wire_bytes"),
+        F.coalesce(F.sum("sent"), F.lit(0).cast("bigint")).alias("bytes"),
+        F.coalesce(F.sum("sent"), F.lit(0).cast("bigint")).alias("wire_bytes"),
     )
     return stats_block(moved.withColumn("elapsed_ms", F.lit(elapsed_ms).cast("bigint")))

@@ -22,9 +22,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def settle(
+    df: DataFrame, name: str, compression: str = "snappy", folder: str | None = None
+) -> DataFrame:
     """The same rows read back from a written table: computed once, safe against lost executors."""
     spark = df.sparkSession
-    folder = shared_folder(spark, name)
+    folder = folder or shared_folder(spark, name)
     df.write.parquet(folder, compression=compression)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def file_system(spark: SparkSession, folder: str):
+    """The folder's path and the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this library wrote and that nothing reads any more."""
+    path, files = file_system(spark, folder)
+    files.delete(path, True)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.functions.formats import whole_div
 from tidemark.operators.state import replay
 from tidemark.schema import HASH_CACHE, JOURNAL, LIVE_STATE, MANIFEST, Limits
+from tidemark.sources.shared import discard, file_system
 
 POINTER = "CURRENT"
 VERSIONS = "versions"
+MAPS = "maps"
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -26,8 +29,8 @@ def read_or_empty(spark: SparkSession, folder: str, schema: T.StructType) -> Dat
 
 
 def exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    path, files = file_system(spark, folder)
+    return files.exists(path)
 
 
 def write_manifest(manifest: DataFrame, folder: str, entries: int, batches_per_part: int = 500):
@@ -165,9 +168,90 @@ def read_current(spark: SparkSession, dest: str, schema: T.StructType) -> DataFr
     version = current_version(spark, dest)
     if version is None:
         return empty(spark, schema)
+    layout = bucket_map(spark, dest)
+    if layout is not None:
+        return read_buckets(spark, dest, schema, layout, layout.versions)
     return spark.read.schema(schema).parquet(f"{dest.rstrip('/')}/{VERSIONS}/{version}")
 
 
+@dataclass(frozen=True)
+class BucketMap:
+    """How many buckets a published table has, and which version holds each that isn't empty."""
+
+    buckets: int
+    versions: dict[int, str]
+
+
+def bucket_of(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def bucket_map(spark: SparkSession, dest: str) -> BucketMap | None:
+    """The current version's map, one row a bucket; None where it has none."""
+    folder = f"{dest.rstrip('/')}/{MAPS}/{current_version(spark, dest)}"
+    if not exists(spark, folder):
+        return None
+    rows = spark.read.schema("bucket int, version string, buckets int").parquet(folder).collect()
+    return BucketMap(rows[0]["buckets"], {r["bucket"]: r["version"] for r in rows}) if rows else None
+
+
+def read_buckets(
+    spark: SparkSession, dest: str, schema: T.StructType, layout: BucketMap, wanted
+) -> DataFrame:
+    """The rows of some buckets; no other file is opened."""
+    root = f"{dest.rstrip('/')}/{VERSIONS}"
+    folders = [f"{root}/{layout.versions[b]}/bucket={b}" for b in wanted if b in layout.versions]
+    return spark.read.schema(schema).parquet(*folders) if folders else empty(spark, schema)
+
+
+def publish_buckets(
+    df: DataFrame, dest: str, buckets: int, kept: dict[int, str] | None = None
+) -> str:
+    """Writes the buckets of the paths in ``df`` and switches to them in one rename.
+
+    ``df`` has all rows of its buckets; other buckets stay where ``kept`` has them. Bodies are
+    shuffled once, a bucket is as many tasks as its bytes ask for, and no file is rewritten that
+    has no changed row beside it.
+    """
+    spark = df.sparkSession
+    version = uuid.uuid4().hex
+    root = dest.rstrip("/")
+    placed = df.withColumn("bucket", bucket_of(F.col("path"), buckets))
+    placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{root}/{VERSIONS}/{version}")
+    written = spark.read.schema(placed.schema).parquet(f"{root}/{VERSIONS}/{version}")
+    found = [row["bucket"] for row in written.select("bucket").distinct().collect()]
+    versions = {**(kept or {}), **dict.fromkeys(found, version)}
+    rows = [(bucket, of, buckets) for bucket, of in sorted(versions.items())]
+    spark.createDataFrame(rows, "bucket int, version string, buckets int").coalesce(1).write.parquet(
+        f"{root}/{MAPS}/{version}"
+    )
+    _point(spark, dest, version)
+    return version
+
+
+def remove_unreferenced(spark: SparkSession, dest: str) -> None:
+    """Deletes what the current version doesn't use. Readers of older versions and runs that are
+    publishing must have ended."""
+    version, layout, root = current_version(spark, dest), bucket_map(spark, dest), dest.rstrip("/")
+    used = set(layout.versions.values()) if layout is not None else {version}
+    for name in _names(spark, f"{root}/{VERSIONS}"):
+        if name not in used:
+            discard(spark, f"{root}/{VERSIONS}/{name}")
+        elif layout is not None:
+            for part in _names(spark, f"{root}/{VERSIONS}/{name}"):
+                bucket = part.removeprefix("bucket=")
+                if bucket.isdigit() and layout.versions.get(int(bucket)) != name:
+                    discard(spark, f"{root}/{VERSIONS}/{name}/{part}")
+    for name in _names(spark, f"{root}/{MAPS}"):
+        if name != version:
+            discard(spark, f"{root}/{MAPS}/{name}")
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    path, files = file_system(spark, folder)
+    return [status.getPath().getName() for status in files.listStatus(path)] if files.exists(path) else []
+
+
 def _point(spark: SparkSession, dest: str, version: str) -> None:
     """Puts the pointer file in place by an overwriting rename."""
     jvm = spark._jvm
