@@ -34,12 +34,14 @@ def chunk_rows(spark, bodies, seed=2):
     return spark.createDataFrame(rows, CHUNK)
 
 
-def test_digests_agree_with_hashlib_joined_or_streamed(spark, bodies):
-    chunks = chunk_rows(spark, bodies)
+def test_digests_agree_with_hashlib(spark, bodies):
     expected = {i: (len(b), hashlib.sha256(b).hexdigest()) for i, b in bodies.items()}
-    for limit in (10**9, 64, -1):
-        got = fi.digest_chunks(chunks, collect_bytes=limit).collect()
-        assert {r["file_id"]: (r["size"], r["hash"]) for r in got} == expected
+    got = fi.digest_chunks(chunk_rows(spark, bodies)).collect()
+    assert {r["file_id"]: (r["size"], r["hash"]) for r in got} == expected
+    assert fi.digest_chunks(spark.createDataFrame([], CHUNK)).count() == 0
+    torn = spark.createDataFrame([(None, 0, bytearray(b"a")), (7, 0, None), (7, 3, bytearray(b"b"))], CHUNK)
+    got = {r["file_id"]: (r["size"], r["hash"]) for r in fi.digest_chunks(torn).collect()}
+    assert got == {None: (1, hashlib.sha256(b"a").hexdigest()), 7: (1, None)}
 
 
 def test_tree_digest_depends_on_bytes_only(spark, bodies):

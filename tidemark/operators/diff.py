@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.formats import remaining
+from tidemark.sources.shared import settle
 
 
 def decide(manifest: DataFrame, target: DataFrame, partials: DataFrame | None = None) -> DataFrame:
@@ -199,8 +200,12 @@ def latest_wanted(offers: DataFrame, order: str = "offer_seq") -> DataFrame:
 def apply_plan(
     target: DataFrame, needs: DataFrame, source: DataFrame, key: str = "path"
 ) -> DataFrame:
-    """Target with the needed rows replaced or added; nothing else is touched or deleted."""
-    keys = needs.select(key)
+    """Target with the needed rows replaced or added; nothing else is touched or deleted.
+
+    The needed keys are made once and written down; where their files are within the session's
+    broadcast threshold no body is shuffled.
+    """
+    keys = settle(needs.select(key), "needs")
     return target.join(keys, key, "left_anti").unionByName(source.join(keys, key, "left_semi"))
 
 

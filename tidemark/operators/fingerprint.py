@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.content import fingerprint, should_hash
@@ -13,7 +13,6 @@ from tidemark.functions.paths import display_path
 from tidemark.operators.running import max_before, with_running
 from tidemark.operators.sizes import BroadcastBound, fits
 
-COLLECT_BYTES = 8 * 1024**2
 LEAF_BYTES = 1024**2
 FAN_OUT = 4_096
 
@@ -37,54 +36,51 @@ def chunk(df: DataFrame, id_col: str, body_col: str, chunk_bytes: int) -> DataFr
     )
 
 
-def digest_chunks(
-    chunks: DataFrame, sizes: DataFrame | None = None, collect_bytes: int = COLLECT_BYTES
-) -> DataFrame:
+def digest_chunks(chunks: DataFrame) -> DataFrame:
     """SHA-256 of each object from its chunks in offset order.
 
-    Objects up to ``collect_bytes`` are joined in one JVM aggregate. Larger ones are never held
-    whole: their chunks are sorted within a partition (which spills) and fed to the digest one
-    by one. SHA-256 is sequential per object; ``tree_digest`` is the way to spread one object.
-    Pass ``sizes`` (``file_id, size``, as a manifest has them) to save a pass over the bodies.
-    One look at the sizes settles whether the second way is needed at all.
+    Chunks are shuffled once and sorted within a partition, which spills, and fed to the digest
+    one by one, so no object of any size is ever held whole. SHA-256 is sequential per object;
+    ``tree_digest`` is the way to spread one object. An object with a chunk that could not be
+    read (NULL data) has a NULL digest.
     """
-    if sizes is None:
-        sizes = chunks.groupBy("file_id").agg(F.sum(F.octet_length("data")).alias("size"))
-    large = sizes.filter(F.col("size") > collect_bytes).select("file_id")
-    if not large.take(1):
-        return _digest_joined(chunks)
-    streamed = (
-        chunks.join(large, "file_id", "left_semi")
+    kind = chunks.schema["file_id"].dataType.simpleString()
+    return (
+        chunks.select("file_id", "offset", F.col("data").cast("binary").alias("data"))
         .repartition("file_id")
         .sortWithinPartitions("file_id", "offset")
         .select("file_id", "data")
-        .mapInPandas(_digest_in_order, "file_id bigint, size bigint, hash string")
+        .mapInArrow(_digest_in_order, f"file_id {kind}, size bigint, hash string")
     )
-    return _digest_joined(chunks.join(large, "file_id", "left_anti")).unionByName(streamed)
 
 
-def _digest_joined(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("file_id").agg(
-        F.sum(F.octet_length("data")).cast("bigint").alias("size"),
-        F.sha2(F.expr("listagg(data) WITHIN GROUP (ORDER BY offset)"), 256).alias("hash"),
-    )
+def _digest_in_order(batches):
+    kind, current, size, digest, whole = None, None, 0, None, True
+    names = ["file_id", "size", "hash"]
 
+    def row():
+        return current, size, digest.hexdigest() if whole else None
+
+    def rows(done):
+        arrays = [pa.array(column, t) for column, t in zip(zip(*done), (kind, pa.int64(), pa.string()))]
+        return pa.RecordBatch.from_arrays(arrays, names)
 
-def _digest_in_order(batches):
-    current, size, digest = None, 0, None
     for batch in batches:
-        done = []
-        for file_id, data in zip(batch["file_id"], batch["data"]):
+        kind, done = batch.schema.field(0).type, []
+        for file_id, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             if digest is None or file_id != current:
                 if digest is not None:
-                    done.append((current, size, digest.hexdigest()))
-                current, size, digest = file_id, 0, hashlib.sha256()
-            digest.update(data)
-            size += len(data)
+                    done.append(row())
+                current, size, digest, whole = file_id, 0, hashlib.sha256(), True
+            if data.is_valid:
+                digest.update(data.as_buffer())
+                size += len(data.as_buffer())
+            else:
+                whole = False
         if done:
-            yield pd.DataFrame(done, columns=["file_id", "size", "hash"])
+            yield rows(done)
     if digest is not None:
-        yield pd.DataFrame([(current, size, digest.hexdigest())], columns=["file_id", "size", "hash"])
+        yield rows([row()])
 
 
 def tree_digest(

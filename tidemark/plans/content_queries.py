@@ -153,10 +153,7 @@ def chunk_documents(spark, folder):
 
 @query("SELECT doc_id AS file_id, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS hash FROM documents")
 def digest_documents(spark, folder):
-    sizes = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("file_id"), byte_size(F.col("text")).alias("size")
-    )
-    return fi.digest_chunks(document_chunks(spark, folder, 1000), sizes)
+    return fi.digest_chunks(document_chunks(spark, folder, 1000))
 
 
 @query(
