@@ -111,3 +111,24 @@ def test_unanswered_openings_come_out_when_their_time_has_passed(spark, tmp_path
         append_available(pairs, out, str(tmp_path / "c"))
     got = {r["s"]: r["answered"] is not None for r in spark.read.parquet(out).collect()}
     assert got == {"a": True, "b": False, "c": False, "z": True}
+
+
+def test_forgotten_paths_are_let_go_and_stay_away(spark, tmp_path):
+    root, dest, checkpoint = (str(tmp_path / n) for n in ("in", "dest", "checkpoint"))
+    parts = [
+        [started(0, "a"), started(1, "b"), forgot(2, "a")],
+        [started(30, "c"), forgot(29, "b")],
+        [started(1, "a"), started(40, "d"), forgot(25, "c"), forgot(41, "d")],
+        [started(31, "a")],
+    ]
+    seen = []
+    for i, rows in enumerate(parts):
+        journal_part(spark, root, f"part{i}", rows)
+        stream = spark.readStream.schema(JOURNAL).option("recursiveFileLookup", "true").parquet(root)
+        st.run_state(stream, [], dest, checkpoint, keep=10, buckets=1)
+        found = st.read_state(spark, dest, stream, [])
+        seen.append({r["path"][0]: (r["seq"], r["last"]["op"]) for r in found.collect()})
+    assert seen[0] == {"a": (2, "forgot"), "b": (1, "started")}
+    assert seen[1] == {"a": (2, "forgot"), "b": (29, "forgot"), "c": (30, "started")}
+    assert seen[2] == {"b": (29, "forgot"), "c": (30, "started"), "d": (41, "forgot")}
+    assert seen[3] == {"a": (31, "started"), "c": (30, "started"), "d": (41, "forgot")}

@@ -65,6 +65,26 @@ def stream_restart(spark, folder):
     return live_rows(spark, out)
 
 
+@query(SQL_LIVE)
+def stream_state_table(spark, folder):
+    """The same as a published table, from two batches in order; forgotten paths are let go."""
+    events = table(spark, folder, "events")
+    half = events.agg(F.floor(F.max("event_id") / 2)).scalar()
+    arriving = shared_folder(spark, "stream_state_table-events")
+    dest, checkpoint = folders(spark, "stream_state_table")
+    for part in (events.filter(F.col("event_id") <= half), events.filter(F.col("event_id") > half)):
+        part.write.mode("append").parquet(arriving)
+        journal = sc.as_journal(spark.readStream.schema(events.schema).parquet(arriving))
+        st.run_state(journal, ["user_id"], dest, checkpoint, keep=100_000)
+    live = st.still_live(st.read_state(spark, dest, journal, ["user_id"]))
+    return live.select(
+        "user_id",
+        F.array_join("path", "/").alias("path"),
+        F.col("expected.size").alias("size"),
+        F.col("expected.mtime").alias("mtime"),
+    )
+
+
 @query(
     SQL_DOCUMENTS
     + "SELECT path, decision, reason, CASE WHEN decision = 'Need' THEN CAST(0 AS BIGINT) END AS from_offset FROM decided"

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.functions.paths import validate_path
 from tidemark.operators import diff
 from tidemark.schema import LimitExceeded, Limits
+from tidemark.sources import stores
 from tidemark.sources.shared import settle
 from tidemark.streaming.runs import finish
 
@@ -15,7 +16,8 @@ def stream_state(journal: DataFrame, keys: list[str], limits: Limits = Limits())
     """The last word on each path so far, as rows that change.
 
     A forgotten path stays as a ``forgot`` row, so a record that arrives late or twice cannot
-    bring it back. The fold is a built-in aggregate and combines before the shuffle.
+    bring it back; ``run_state`` is the way to let it go. The fold is a built-in aggregate and
+    combines before the shuffle.
     """
     usable = journal.filter(
         F.col("ok") & validate_path(F.col("path"), limits)["rule"].isNull()
@@ -26,6 +28,63 @@ def stream_state(journal: DataFrame, keys: list[str], limits: Limits = Limits())
     )
 
 
+def run_state(
+    journal: DataFrame,
+    keys: list[str],
+    dest: str,
+    checkpoint: str,
+    keep: int,
+    limits: Limits = Limits(),
+    buckets: int | None = None,
+) -> None:
+    """Folds a journal stream into a published table of the last word on each path.
+
+    A batch reads and writes only the buckets of its paths. A forgotten path stays until it is
+    ``keep`` numbers behind the highest of the batches before; a record further behind than that
+    is late and left out, so none brings back what was let go. A batch folded again changes
+    nothing.
+    """
+    spark = journal.sparkSession
+    tops = f"{dest.rstrip('/')}.top"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        top = spark.read.parquet(f"{tops}/{(batch_id - 1) % 2}").first()[0] if batch_id else None
+        in_time = F.lit(True) if top is None else F.col("seq") >= top - keep
+        fresh = settle(stream_state(batch.filter(in_time), keys, limits), "folded")
+        highest = fresh.agg(F.max("seq")).first()[0]
+        highest = max((x for x in (top, highest) if x is not None), default=None)
+        spark.createDataFrame([(highest,)], "top bigint").write.mode("overwrite").parquet(
+            f"{tops}/{batch_id % 2}"
+        )
+        layout = stores.bucket_map(spark, dest)
+        layout = layout or stores.BucketMap(n, {})
+        bucket = stores.bucket_of(F.col("path"), layout.buckets).alias("bucket")
+        touched = {row["bucket"] for row in fresh.select(bucket).distinct().collect()}
+        if not touched:
+            return
+        held = stores.read_buckets(spark, dest, fresh.schema, layout, touched)
+        folded = held.unionByName(fresh).groupBy(*keys, "path").agg(
+            F.max("seq").alias("seq"), F.max_by("last", "seq").alias("last")
+        )
+        rest = folded.filter((F.col("last.op") == "started") | in_time)
+        others = {b: v for b, v in layout.versions.items() if b not in touched}
+        stores.publish_buckets(rest, dest, layout.buckets, others)
+
+    writer = (
+        journal.writeStream.foreachBatch(fold)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+    )
+    finish(writer, spark)
+
+
+def read_state(spark, dest: str, journal: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``run_state`` published of a journal of this shape, forgotten paths included."""
+    schema = stream_state(journal, keys).schema
+    return stores.read_current(spark, dest, schema)
+
+
 def still_live(state: DataFrame) -> DataFrame:
     rest = [name for name in state.columns if name not in ("last", "seq")]
     return state.filter(F.col("last.op") == "started").select(
