@@ -11,7 +11,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh
 from tidemark.llm.components import components
 from tidemark.sources.shared import settle
 
@@ -129,14 +128,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fingerprint", "component_id")
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; one of repeated rows.
-
-    A row without doc_id stays only where its component has no other.
-    """
-    number = fresh(docs, "row_number")
-    found = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", number), F.col("doc_id").eqNullSafe(F.col(number)), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
