@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.suffixes import suffix_array
@@ -59,15 +59,15 @@ def _lowest(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[: len(keys) - (width - step)], keys[width - step :]) if width > step else keys
 
 
-def anchored(segments: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
+def anchored(segments: list[tuple[int, int, int, bytes]]) -> dict[str, np.ndarray]:
     """The strings of some segments of documents, as runs of starts that share an anchor.
 
-    ``place, at, n`` say where a run is; ``anchor`` is the anchor's hash and ``off`` its distance
+    ``place, row, at, n`` say where a run is; ``anchor`` is the anchor's hash and ``off`` its distance
     from the first start; ``context`` is the hash of all bytes that the run's strings cover.
     """
-    names = ("place", "at", "n", "anchor", "off", "context")
-    sizes = np.array([len(s[2]) for s in segments], np.int64)
-    raw = np.frombuffer(b"".join(s[2] for s in segments), np.uint8)
+    names = ("place", "row", "at", "n", "anchor", "off", "context")
+    sizes = np.array([len(s[3]) for s in segments], np.int64)
+    raw = np.frombuffer(b"".join(s[3] for s in segments), np.uint8)
     size = len(raw)
     if size < SPAN:
         return {name: np.zeros(0, np.int64) for name in names}
@@ -89,59 +89,71 @@ def anchored(segments: list[tuple[int, int, bytes]]) -> dict[str, np.ndarray]:
     off = anchor[at] - at
     shape = (off * 4096 + (end - at)).astype(np.uint64)
     places = np.array([s[0] for s in segments], np.int64)
-    starts = np.array([s[1] for s in segments], np.int64)
+    rows = np.array([s[1] for s in segments], np.int64)
+    starts = np.array([s[2] for s in segments], np.int64)
     whose = owner[at]
-    values = (places[whose], starts[whose] + at - first[whose], end - at, grams[anchor[at]].view(np.int64), off)
+    values = (places[whose], rows[whose], starts[whose] + at - first[whose], end - at, grams[anchor[at]].view(np.int64), off)
     return dict(zip(names, (*values, _mixed(covered ^ _mixed(shape)).view(np.int64))))
 
 
-def _segments(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, bytes]]]:
+def _segments(batch: pa.RecordBatch) -> Iterator[list[tuple[int, int, int, bytes]]]:
     """The documents of a batch in pieces that fit, overlapping by all but one byte of a string."""
     held, size = [], 0
-    for place, text in zip(batch.column(0), batch.column(1)):
-        number, raw = place.as_py(), text.as_buffer()
+    for place, row, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+        number, mark, raw = place.as_py(), row.as_py(), text.as_buffer()
         raw = b"" if raw is None else raw.to_pybytes()
         for start in range(0, max(len(raw) - SPAN + 1, 0), SEGMENT // 2):
             piece = raw[start : start + SEGMENT // 2 + SPAN - 1]
             if size + len(piece) > SEGMENT:
                 yield held
                 held, size = [], 0
-            held.append((number, start, piece))
+            held.append((number, mark, start, piece))
             size += len(piece)
     if held:
         yield held
 
 
-RUN = "key long, place long, at long, n int, anchor long, off int, context long, later boolean"
+def _own(x: dict[str, np.ndarray]) -> np.ndarray:
+    """What tells rows without doc_id apart; rows with one are at one place if their starts are equal."""
+    return np.where(x["place"] == NULL_ID, x["row"], 0)
+
+
+RUN = "key long, place long, row long, at long, n int, anchor long, off int, context long, later boolean"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs; one whose context stands earlier in the same batch is marked ``later`` at once.
+    """All runs; one whose context starts earlier in the same batch is marked ``later`` at once.
 
     Those go to their document's task, so a context that is everywhere comes once from each batch.
     """
     for batch in batches:
         for held in _segments(batch):
             x = anchored(held)
-            order = np.lexsort((x["at"], x["place"], x["context"]))
+            own = _own(x)
+            order = np.lexsort((x["at"], own, x["place"], x["context"]))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = x["context"][order[1:]] != x["context"][order[:-1]]
+            first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
             later = np.zeros(len(order), bool)
-            later[order[1:]] = x["context"][order[1:]] == x["context"][order[:-1]]
+            later[order] = (x["place"][order] != x["place"][first]) | (own[order] != own[first]) | (x["at"][order] != x["at"][first])
             key = np.where(later, x["place"], x["anchor"])
-            columns = [key, x["place"], x["at"], x["n"].astype(np.int32), x["anchor"], x["off"].astype(np.int32), x["context"], later]
+            columns = [key, x["place"], x["row"], x["at"], x["n"].astype(np.int32), x["anchor"], x["off"].astype(np.int32), x["context"], later]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [c.split()[0] for c in RUN.split(", ")])
 
 
-FOUND = "place long, at long, n int, anchor long, off int, open boolean"
+FOUND = "place long, row long, at long, n int, anchor long, off int, open boolean"
 
 
 def _by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs by anchor, context and place: those that aren't the first of their context are settled.
+    """Runs by anchor, context, place and row: those that start after the first of their context are settled.
 
-    The first of each context stays open if its anchor has other contexts. Batches are passed
-    through with one row held back, so a group may be of any size.
+    The first of each context, and other rows' runs at its very place, stay open if its anchor has
+    other contexts. Batches are passed through with one context's held back, so a group may be of
+    any size; of repeated rows one is held.
     """
-    names = ["place", "at", "n", "anchor", "off"]
+    names = ["place", "row", "at", "n", "anchor", "off"]
     last_anchor = last_context = None
+    first, last_row = (0, 0, 0), 0
     held, mixed = None, False
 
     def out(rows: dict[str, np.ndarray], is_open: bool) -> pa.RecordBatch:
@@ -159,23 +171,37 @@ def _by_context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.append(True if last_anchor is None else anchor[0] != last_anchor, anchor[1:] != anchor[:-1])
         fresh = new | np.append(True if last_context is None else context[0] != last_context, context[1:] != context[:-1])
         last_anchor, last_context = anchor[-1], context[-1]
-        yield out({name: x[name][~fresh] for name in names}, False)
-        firsts = {name: x[name][fresh] for name in names}
-        group = np.cumsum(new[fresh])  # 0 is the group that was open before
+        # Each run's first is at its own index here, or 0 for the one that was carried over.
+        whose = np.maximum.accumulate(np.where(fresh, np.arange(1, len(fresh) + 1), 0))
+        at_first = np.ones(len(fresh), bool)
+        firsts = []
+        for values, carried in zip((x["place"], _own(x), x["at"]), first):
+            known = np.append(np.int64(carried), values)
+            at_first &= values == known[whose]
+            firsts.append(int(known[whose[-1]]))
+        first = tuple(firsts)
+        again = ~fresh & at_first & (x["row"] == np.append(np.int64(last_row), x["row"][:-1]))
+        last_row = int(x["row"][-1])
+        yield out({name: x[name][~at_first] for name in names}, False)
+        kept = at_first & ~again
+        rows = {name: x[name][kept] for name in names}
+        group = np.cumsum(new[kept])  # 0 is the group that was open before
         if not len(group):
             continue
-        counts = np.bincount(group)
+        counts = np.bincount(group, weights=fresh[kept])
         several = counts >= 2
-        if len(counts) and counts[0] and (held is not None or mixed):
-            several[0] = True
-            if held is not None:
+        if held is not None or mixed:
+            if held is not None and counts[0]:
                 yield out(held, True)
                 held, mixed = None, True
+            several[0] = mixed
+            if held is not None:
+                held = {name: np.append(held[name], rows[name][group == 0]) for name in names}
         keep = several[group]
-        yield out({name: firsts[name][keep] for name in names}, True)
+        yield out({name: rows[name][keep] for name in names}, True)
         if group[-1] > 0:
             mixed = bool(several[group[-1]])
-            held = None if mixed else {name: firsts[name][-1:] for name in names}
+            held = None if mixed else {name: rows[name][group == group[-1]] for name in names}
 
 
 def _classes(order: np.ndarray, group: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
@@ -225,14 +251,13 @@ def resolved(group: np.ndarray, at: np.ndarray, n: np.ndarray, off: np.ndarray,
         valid = by_rank[((start >= 0) & (start < n))[by_rank]]
         if len(valid) > 1:
             key = rights[REST - before][valid] * m + lefts[before][valid]
-            _, first = np.unique(key, return_index=True)
-            repeated = np.ones(len(valid), bool)
-            repeated[first] = False
+            _, first, same = np.unique(key, return_index=True, return_inverse=True)
+            repeated = rank[valid] != rank[valid[first]][same]
             gone[valid[repeated], start[valid[repeated]]] = True
     return gone
 
 
-STARTS = "place long, since long, until long"
+STARTS = "place long, row long, since long, until long"
 
 
 def _by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,15 +265,17 @@ def _by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.RecordBatch] = []
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        x = {name: table.column(name).to_numpy() for name in ("anchor", "place", "at", "n", "off")}
-        rank = np.empty(len(x["place"]), np.int64)
-        rank[np.lexsort((x["at"] + x["off"], x["place"]))] = np.arange(len(rank))
+        x = {name: table.column(name).to_numpy() for name in ("anchor", "place", "row", "at", "n", "off")}
+        keys = (x["at"] + x["off"], _own(x), x["place"])
+        order = np.lexsort(keys)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.append(0, np.cumsum(np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)))
         gone = resolved(x["anchor"], x["at"], x["n"], x["off"], table.column("bytes").to_pylist(), rank)
         edges = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, since = np.nonzero(edges == 1)
+        i, since = np.nonzero(edges == 1)
         _, until = np.nonzero(edges == -1)
-        columns = (x["place"][row], x["at"][row] + since, x["at"][row] + until)
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "since", "until"])
+        columns = (x["place"][i], x["row"][i], x["at"][i] + since, x["at"][i] + until)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["place", "row", "since", "until"])
 
     for batch in batches:
         held.append(batch)
@@ -263,23 +290,31 @@ def _by_suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(pa.Table.from_batches(held))
 
 
+def _place() -> list[Column]:
+    """``place, row`` of a row: its doc_id, the least number for null, and a hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("place"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row")]
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """``place, since, until``: runs of starts of strings that also start earlier.
+    """``place, row, since, until``: runs of starts of strings that also start earlier.
 
     Every string belongs to one anchor, chosen by its own bytes, so equal strings have equal anchors
     and only anchors that occur again matter. Where all bytes around an anchor are equal to earlier
     ones, all its strings go. The first of each of several contexts of an anchor is compared with
-    the others by suffix array. ``place`` is the doc_id, and the least number for null.
+    the others by suffix array. Neither of two strings at one start of one doc_id is the earlier; rows
+    without doc_id are in order of a hash of their texts, and equal ones are at one place.
     """
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = docs.select(*_place(), F.coalesce("text", F.lit("")).alias("text"))
     runs = plain.mapInArrow(_runs, RUN)
-    dealt = runs.repartition("key").sortWithinPartitions("anchor", "context", "place", "at")
+    own = F.when(F.col("place") == NULL_ID, F.col("row")).otherwise(0)
+    dealt = runs.repartition("key").sortWithinPartitions("anchor", "context", "place", own, "at", "row")
     found = settle(dealt.mapInArrow(_by_context, FOUND), "runs")
-    closed = found.filter("not open").select("place", F.col("at").alias("since"), (F.col("at") + F.col("n")).alias("until"))
-    wanted = found.filter("open").groupBy("place").agg(F.collect_list(F.struct("at", "n", "anchor", "off")).alias("runs"))
+    closed = found.filter("not open").select("place", "row", F.col("at").alias("since"), (F.col("at") + F.col("n")).alias("until"))
+    wanted = found.filter("open").groupBy("place", "row").agg(F.collect_list(F.struct("at", "n", "anchor", "off")).alias("runs"))
     part = lambda x: F.substring(F.col("text").cast("binary"), x["at"].cast("int") + 1, x["n"] + SPAN - 1)
-    contexts = plain.join(wanted, "place").select(
+    contexts = plain.join(wanted, ["place", "row"]).select(
         "place",
+        "row",
         F.inline(
             F.transform(
                 "runs",
@@ -290,26 +325,31 @@ def repeats(docs: DataFrame) -> DataFrame:
     contexts = settle(contexts, "contexts")
     sizes = contexts.groupBy("anchor").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE)
     sizes = settle(sizes, "large")
-    small = contexts.join(sizes, "anchor", "left_anti").select("anchor", "place", "at", "n", "off", "bytes")
+    small = contexts.join(sizes, "anchor", "left_anti").select("anchor", "place", "row", "at", "n", "off", "bytes")
     by_suffix = small.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_by_suffix, STARTS)
     return closed.union(by_suffix).union(_by_string(contexts.join(sizes, "anchor", "left_semi")))
 
 
 def _by_string(contexts: DataFrame) -> DataFrame:
     """The same for groups that are too large to sort in one task: each string finds its first."""
+    own = F.when(F.col("place") == NULL_ID, F.col("row")).otherwise(0)
     strings = contexts.select(
         "place",
+        "row",
+        own.alias("own"),
         F.col("at").alias("from"),
         "bytes",
         F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"),
     ).select(
-        "place", (F.col("from") + F.col("i")).alias("at"), F.sha2(F.substring(F.col("bytes"), F.col("i") + 1, F.lit(SPAN)), 256).alias("string")
+        F.struct("place", "own", (F.col("from") + F.col("i")).alias("at")).alias("start"),
+        "row",
+        F.sha2(F.substring(F.col("bytes"), F.col("i") + 1, F.lit(SPAN)), 256).alias("string"),
     )
-    firsts = strings.groupBy("string").agg(F.min(F.struct("place", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    firsts = strings.groupBy("string").agg(F.min("start").alias("first"), F.count("*").alias("n")).filter("n > 1")
     return (
         strings.join(firsts, "string")
-        .filter(F.struct("place", "at") != F.col("first"))
-        .select("place", F.col("at").alias("since"), (F.col("at") + 1).alias("until"))
+        .filter(F.col("start") != F.col("first"))
+        .select("start.place", "row", F.col("start.at").alias("since"), (F.col("start.at") + 1).alias("until"))
     )
 
 
@@ -346,13 +386,13 @@ def _clean(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFram
 def cleaned(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256`` of every row.
 
-    A null text is empty. Rows with one doc_id are taken for copies of one document: what repeats
-    between them at one start is no repeat, and what goes from one goes from each. A null doc_id
-    comes before all others. An empty table gives no rows.
+    A null text is empty. What repeats between rows of one doc_id at one start is no repeat, so
+    repeated rows stay alike; each row loses only what repeats in its own text. Rows without doc_id
+    come before all others and are told apart by their texts. An empty table gives no rows.
     """
-    gone = repeats(docs).groupBy("place").agg(F.collect_list(F.struct("since", "until")).alias("runs"))
-    plain = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("place"))
-    return plain.join(gone, "place", "left").select("doc_id", F.pandas_udf(_clean, f"struct<{CLEAN}>")("text", "runs").alias("x")).select("doc_id", "x.*")
+    gone = repeats(docs).groupBy("place", "row").agg(F.collect_list(F.struct("since", "until")).alias("runs"))
+    plain = docs.select("doc_id", "text", *_place())
+    return plain.join(gone, ["place", "row"], "left").select("doc_id", F.pandas_udf(_clean, f"struct<{CLEAN}>")("text", "runs").alias("x")).select("doc_id", "x.*")
 
 
 def summary(docs: DataFrame) -> DataFrame:
