@@ -20,6 +20,8 @@ CONTEXT = 1024
 #: Context sizes that pieces are routed to; what is shorter than the last stays whole.
 TIERS = (1024, 512, 256, 128)
 END = 0
+#: The vocabulary's added token, which is one id wherever it stands in a text.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
 #: Sequences are dealt to steps of about so many.
 STEP = 64
 #: The vocabulary's rule for cutting text into words, a fixed value.
@@ -50,6 +52,8 @@ class Encoder(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if ADDED in text:
+            return ADDED_ID.to_bytes(4, "little").join(map(self.ids, text.split(ADDED)))
         if _UNUSUAL.search(text):
             return array("I", self.coding.encode_ordinary(text)).tobytes()
         return b"".join(map(self.__getitem__, _WORDS.findall(text)))
