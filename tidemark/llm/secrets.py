@@ -20,7 +20,7 @@ ASSIGN = re.compile(
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
-KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
+KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_letters"]
 
 #: Candidates are runs of key characters; each class has its alphabet, window and entropy in bits.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
@@ -28,13 +28,16 @@ CLASSES = {
     "entropy_hex": (re.compile(r"[0-9a-fA-F]{20,}"), 20, 2.8),
     "entropy_base64": (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), 20, 3.6),
 }
-#: Candidates that hold one of these, in lower case, or that look like these, aren't secrets.
-ALLOWED_WORDS = ["example", "sample", "placeholder", "changeme", "redacted", "dummy", "xxxx"]
+#: Windows that overlap one of these words, in either case, and what looks as a whole like one of
+#: these shapes aren't secrets.
+ALLOWED_WORDS = re.compile(r"example|sample|placeholder|changeme|redacted|dummy|x{4,}", re.IGNORECASE | re.ASCII)
 ALLOWED_SHAPES = [
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"),
     re.compile(r"[0-9]+"),
-    re.compile(r"[A-Za-z_/-]+"),
 ]
+#: Names and paths look like keys of letters only; such runs have a window and a limit of their own.
+LETTERS = re.compile(r"[A-Za-z_/-]+")
+LETTERS_WINDOW, LETTERS_LEAST = 20, 3.9
 
 
 def dense_runs(text: str, window: int, least: float) -> Iterator[tuple[int, int]]:
@@ -68,8 +71,16 @@ def dense_runs(text: str, window: int, least: float) -> Iterator[tuple[int, int]
 
 
 def allowed(candidate: str) -> bool:
-    lower = candidate.lower()
-    return any(word in lower for word in ALLOWED_WORDS) or any(shape.fullmatch(candidate) for shape in ALLOWED_SHAPES)
+    return any(shape.fullmatch(candidate) for shape in ALLOWED_SHAPES)
+
+
+def between_words(run: str) -> Iterator[tuple[int, str]]:
+    """The parts of a run that hold no allow-listed word, with their starts: no other window overlaps one."""
+    at = 0
+    for word in ALLOWED_WORDS.finditer(run):
+        yield at, run[at : word.start()]
+        at = word.end()
+    yield at, run[at:]
 
 
 def spans(text: str | None) -> list[tuple[int, int, str]]:
@@ -90,13 +101,16 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         taken: list[tuple[int, int]] = []
         for kind, (shape, window, least) in CLASSES.items():
             for part in shape.finditer(candidate[0]):
-                if allowed(part[0]):
-                    continue
-                for start, end in dense_runs(part[0], window, least):
-                    start, end = (candidate.start() + part.start() + x for x in (start, end))
-                    if not any(s <= start and end <= e for s, e in taken):
-                        taken.append((start, end))
-                        found.append((start, end, kind))
+                for at, piece in between_words(part[0]):
+                    if len(piece) < window or allowed(piece):
+                        continue
+                    lettered = kind == "entropy_base64" and LETTERS.fullmatch(piece)
+                    called, wide, limit = ("entropy_letters", LETTERS_WINDOW, LETTERS_LEAST) if lettered else (kind, window, least)
+                    for start, end in dense_runs(piece, wide, limit):
+                        start, end = (candidate.start() + part.start() + at + x for x in (start, end))
+                        if not any(s <= start and end <= e for s, e in taken):
+                            taken.append((start, end))
+                            found.append((start, end, called))
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
