@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import languages, licenses, linededup, merkle, mixing, packing, quality, secrets, simhash, substrings
+from tidemark.llm import collocations, languages, licenses, linededup, merkle, mixing, packing, quality, secrets, simhash, substrings
 from tidemark.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op9_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.summary(documents(spark, folder))
+
+
+@query()
+def op13_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
