@@ -24,7 +24,7 @@ UNKNOWN = "und"
 #: The bound on the candidates in one trie, and so on what is broadcast; more make more tries.
 SHARD = 1 << 17
 #: Bytes of text cut into words at once, words remembered by a task, and counts held before they are handed on.
-SLICE, REMEMBERED, HELD = 4 << 20, 300_000, 1 << 21
+SLICE, REMEMBERED, HELD = 4 << 20, 300_000, 1 << 20
 #: Bits of the filter for phrases that may go on. When full it lets all through, and counts stay exact.
 BITS = 1 << 23
 
@@ -237,9 +237,9 @@ def _namer(shared):
 
 
 def _in_shards(phrases: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """The phrases with a shard of at most ``size``, half full by a hash."""
+    """The phrases with a shard of at most ``size``: one if all fit, else by a hash, filled to nine tenths."""
     total = phrases.count()
-    n = -(-2 * total // size)
+    n = 1 if 0 < total <= size else -(-10 * total // (9 * size))
     while n:
         dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(n)))
         if dealt.groupBy("shard").count().agg(F.max("count")).first()[0] <= size:
