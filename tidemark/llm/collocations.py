@@ -24,7 +24,9 @@ UNKNOWN = "und"
 #: The bound on the candidates in one trie, and so on what is broadcast; more make more tries.
 SHARD = 1 << 17
 #: Bytes of text cut into words at once, words remembered by a task, and counts held before they are handed on.
-SLICE, REMEMBERED, HELD = 4 << 20, 300_000, 1 << 20
+SLICE, REMEMBERED, HELD = 4 << 20, 300_000, 1 << 21
+#: What goes on from a phrase is counted in one task for every so many occurrences of the phrase.
+PART = 1 << 16
 #: Bits of the filter for phrases that may go on. When full it lets all through, and counts stay exact.
 BITS = 1 << 23
 
@@ -67,24 +69,49 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes
     yield from cut()
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang, word, n``; without a word, all words of the language."""
-    held: dict[str, Counter] = {}
+def _packed(keys: dict[str, pa.Array], at: np.ndarray, words: list[bytes], n: np.ndarray) -> pa.RecordBatch:
+    """Rows of many words each: those of a row end at ``at``, joined by line feeds, beside their counts."""
+    ends = np.append(0, at)
+    joined = [BREAK.join(words[i:j]) for i, j in zip(ends.tolist(), ends[1:].tolist())]
+    counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(n, pa.int64()))
+    return pa.RecordBatch.from_pydict({**keys, "words": pa.array(joined, pa.binary()), "n": counts})
 
-    def rows():
+
+def unpacked(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each word of packed rows with its count, summed; packed words are null for the key alone."""
+    words = F.coalesce(F.split(F.col("words").cast("string"), "\n"), F.array(F.lit(None).cast("string")))
+    # Rows of one key and part are in one task already, and so are those of a word.
+    dealt = rows.repartition(*keys, "part")
+    each = dealt.select(*keys, "part", F.explode(F.arrays_zip(words.alias("word"), F.col("n").alias("n"))).alias("x"))
+    return each.groupBy(*keys, "part", "x.word").agg(F.sum("x.n").alias("n")).drop("part")
+
+
+def _word_counter(parts: int):
+    """``lang, part, words, n``; without words, all words of the language."""
+
+    def rows(held: dict[str, Counter]):
         for lang, counter in held.items():
             del counter[BREAK]
-            words, n = [None, *counter], [sum(counter.values()), *counter.values()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(n)), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["lang", "word", "n"]
-            )
+            total = pa.array([[sum(counter.values())]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "part": pa.array([-1], pa.int32()), "words": pa.nulls(1, pa.binary()), "n": total})
+            if counter:
+                words, n = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
+                part = np.array([xxhash.xxh3_64_intdigest(w) % parts for w in words])
+                order = np.argsort(part, kind="stable")
+                found, at = np.unique(part[order], return_index=True)
+                keys = {"lang": pa.array([lang] * len(found)), "part": pa.array(found, pa.int32())}
+                yield _packed(keys, np.append(at[1:], len(words)), [words[i] for i in order.tolist()], n[order])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        for lang, found in _slices(batches):
+            held.setdefault(lang, Counter()).update(found)
+            if sum(map(len, held.values())) > REMEMBERED:
+                yield from rows(held)
+                held = {}
+        yield from rows(held)
 
-    for lang, found in _slices(batches):
-        held.setdefault(lang, Counter()).update(found)
-        if sum(map(len, held.values())) > REMEMBERED:
-            yield from rows()
-            held = {}
-    yield from rows()
+    return count
 
 
 def _joined(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -127,9 +154,10 @@ class Shard:
     symbols: dict[str, dict[bytes, int]]
     trie: Trie
     filter: np.ndarray | None
+    parts: np.ndarray
 
 
-def shard_of(phrases: list[tuple[str, bytes]], going_on: np.ndarray | None) -> Shard:
+def shard_of(phrases: list[tuple[str, bytes]], going_on: np.ndarray | None, often_each: list[int] | None = None) -> Shard:
     """Words that stand in more phrases have smaller symbols, so that children lie close together."""
     cut = [(lang, phrase.split(b" ")) for lang, phrase in phrases]
     often = Counter((lang, word) for lang, words in cut for word in words)
@@ -139,7 +167,8 @@ def shard_of(phrases: list[tuple[str, bytes]], going_on: np.ndarray | None) -> S
     symbols: dict[str, dict[bytes, int]] = {}
     for (lang, word), symbol in number.items():
         symbols.setdefault(lang, {})[word] = symbol
-    return Shard([phrases[i] for i in order], symbols, build(keys[order]), going_on)
+    parts = 1 + np.array(often_each or [0] * len(phrases), np.int64)[order] // PART
+    return Shard([phrases[i] for i in order], symbols, build(keys[order]), going_on, parts)
 
 
 class _Ids(dict):
@@ -185,14 +214,17 @@ class _Seen:
         return key, np.bincount(back, n).astype(np.int64)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        if self.found:
-            key, n = self.merged()
-            words = pa.array(self.words, pa.binary()).take(pa.array(key & 0xFFFFFFFF))
-            yield _counts(key >> 32, words, n)
-
-
-def _counts(leaves: np.ndarray, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), words, pa.array(n, pa.int64())], ["leaf", "word", "n"])
+        if not self.held:
+            return
+        key, n = self.merged()
+        leaf, word = key >> 32, key & 0xFFFFFFFF
+        part = (self.hashes[word] % self.shard.parts[leaf].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((word, part, leaf))
+        leaf, part = leaf[order], part[order]
+        opens = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])))
+        words = [self.words[i] for i in word[order].tolist()]
+        keys = {"leaf": pa.array(leaf[opens], pa.int64()), "part": pa.array(part[opens], pa.int32())}
+        yield _packed(keys, np.append(opens[1:], len(words)), words, n[order])
 
 
 def _walker(shared):
@@ -220,7 +252,9 @@ def _walker(shared):
         for here in seen.values():
             yield from here.rows()
         at = np.flatnonzero(totals)
-        yield _counts(at, pa.nulls(len(at), pa.binary()), totals[at])
+        alone = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1), pa.int32()), pa.array(totals[at], pa.int64()))
+        keys = {"leaf": pa.array(at, pa.int64()), "part": pa.array(np.full(len(at), -1), pa.int32())}
+        yield pa.RecordBatch.from_pydict({**keys, "words": pa.nulls(len(at), pa.binary()), "n": alone})
 
     return walk
 
@@ -254,17 +288,13 @@ def _walked(spark: SparkSession, texts: DataFrame, phrases: DataFrame, last: boo
     going_on = None if last or not n else phrase_filter(phrases)
     done = None
     for number in range(n):
-        rows = dealt.filter(F.col("shard") == number).select("lang", "phrase").toArrow()
-        listed = sorted(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist()))
+        rows = dealt.filter(F.col("shard") == number).select("lang", "phrase", "f").toArrow()
+        listed = sorted(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist(), rows["f"].to_pylist()))
         if not listed:
             continue
-        shared = spark.sparkContext.broadcast(shard_of(listed, going_on))
-        counted = (
-            texts.mapInArrow(_walker(shared), "leaf long, word binary, n long")
-            .groupBy("leaf", "word")
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= least)
-        )
+        shared = spark.sparkContext.broadcast(shard_of([x[:2] for x in listed], going_on, [x[2] for x in listed]))
+        walked = texts.mapInArrow(_walker(shared), "leaf long, part int, words binary, n array<long>")
+        counted = unpacked(walked, "leaf").filter(F.col("n") >= least).select("leaf", F.col("word").cast("binary").alias("word"), "n")
         named = settle(counted.mapInArrow(_namer(shared), "lang string, phrase binary, word binary, f long"), "phrases")
         shared.destroy()
         done = named if done is None else done.unionByName(named)
@@ -285,8 +315,9 @@ def phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int
     texts = docs.select(
         F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
-    counted = texts.mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    kept = settle(counted.filter((F.col("n") >= least) | F.col("word").isNull()), "words")
+    parts = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = unpacked(texts.mapInArrow(_word_counter(parts), "lang string, part int, words binary, n array<long>"), "lang")
+    kept = settle(counted.filter((F.col("n") >= least) | F.col("word").isNull()).withColumn("word", F.col("word").cast("binary")), "words")
     totals = kept.filter("word is null").select("lang", "n")
     found = [kept.filter(F.col("word").isNotNull() & (F.col("n") >= least)).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))]
     candidates = found[0]
@@ -296,7 +327,7 @@ def phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int
             break
         if size > 1:
             found.append(done.filter("word is null").select("lang", "phrase", F.lit(size).alias("size"), "f"))
-        candidates = done.filter("word is not null").select("lang", F.concat("phrase", F.lit(b" "), "word").alias("phrase"))
+        candidates = done.filter("word is not null").select("lang", F.concat("phrase", F.lit(b" "), "word").alias("phrase"), "f")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
