@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import collocations, dialogues, languages, licenses, linededup, merkle, mixing, packing, quality, secrets, simhash, substrings
+from tidemark.llm import collocations, dialogues, languages, licenses, linededup, merkle, mixing, packing, quality, secrets, simhash, substrings, toxicity
 from tidemark.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.summary(documents(spark, folder))
 
 
+@query()
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(documents(spark, folder), table(spark, folder, "labels"))
+
+
 @query()
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return dialogues.repairs(table(spark, folder, "conversations"))
