@@ -233,3 +233,59 @@ def test_retries_follow_the_policy():
     with pytest.raises(sync.SyncFailed):
         sync.sync_with_retry(always, RetryPolicy(attempts=2), lambda s: waits.append(s))
     assert len(waits) == 4
+
+
+def test_buckets_split_as_the_table_grows(spark, tmp_path):
+    dest = str(tmp_path / "dest")
+    small = objects(spark, {f"shelf{i}": f"{i}" * 50 for i in range(20)})
+    sync.apply_sync(sync.plan_sync(small, small.limit(0)), small, None, dest, buckets=2, bucket_bytes=4_000)
+    assert set(stores.bucket_map(spark, dest).held) == {"1-0", "1-1"}
+    large = objects(spark, {f"shelf{i}": f"{i}" * 50 for i in range(400)})
+    held = stores.read_current(spark, dest, small.schema)
+    sync.require_complete(sync.apply_sync(sync.plan_sync(large, held), large, None, dest, bucket_bytes=4_000))
+    layout = stores.bucket_map(spark, dest)
+    assert len(layout.held) >= 16 and max(b.size for b in layout.held.values()) < 20_000
+    assert len(layout.slots()) == 1 << layout.depth == len(set(layout.slots()))
+    assert bodies(stores.read_current(spark, dest, small.schema)) == bodies(large)
+    edited = objects(spark, {**{f"shelf{i}": f"{i}" * 50 for i in range(400)}, "shelf7": "other"})
+    plan = sync.plan_sync(edited, stores.read_current(spark, dest, small.schema))
+    third = sync.apply_sync(plan, edited, None, dest, bucket_bytes=1 << 20)
+    assert len(folders(tmp_path, third.version)) == 1
+    assert set(stores.bucket_map(spark, dest).held) == set(layout.held)
+    assert bodies(stores.read_current(spark, dest, small.schema)) == bodies(edited)
+
+
+def test_of_two_publishers_one_fails_and_tries_again(spark, tmp_path):
+    dest = str(tmp_path / "dest")
+    first = objects(spark, {"a": "1", "b": "2"})
+    sync.apply_sync(sync.plan_sync(first, first.limit(0)), first, None, dest, buckets=4)
+    layout = stores.bucket_map(spark, dest)
+    theirs = objects(spark, {"a": "1", "b": "3"})
+    ours = objects(spark, {"a": "4", "b": "2"})
+    published = stores.read_current(spark, dest, first.schema)
+    sync.apply_sync(sync.plan_sync(theirs, published), theirs, None, dest)
+    with pytest.raises(stores.PublishConflict):
+        stores.publish_buckets(ours, dest, layout, set(layout.held))
+    assert bodies(stores.read_current(spark, dest, first.schema)) == {"a": "1", "b": "3"}
+    with pytest.raises(stores.PublishConflict):
+        stores.publish_buckets(ours, dest, after=0)
+    tries = []
+
+    def attempt(n):
+        tries.append(n)
+        if n == 1:
+            raise sync.SyncFailed(sync.CONFLICT, "somebody else")
+        return sync.apply_sync(sync.plan_sync(ours, stores.read_current(spark, dest, first.schema)), ours, None, dest)
+
+    assert sync.sync_with_retry(attempt, sleep=lambda s: None).version and tries == [1, 2]
+    assert bodies(stores.read_current(spark, dest, first.schema)) == {"a": "4", "b": "2"}
+
+
+def test_a_commit_that_was_never_written_is_passed_over(spark, tmp_path):
+    dest = str(tmp_path / "dest")
+    df = objects(spark, {"a": "1"})
+    version = stores.publish(df, dest)
+    (tmp_path / "dest" / "commits" / f"{2:020d}").touch()
+    assert stores.current_commit(spark, dest) == (1, version)
+    later = stores.publish(df, dest)
+    assert stores.current_commit(spark, dest) == (3, later)

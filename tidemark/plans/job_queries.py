@@ -281,3 +281,16 @@ def stored_hash_cache(spark, folder):
         )
         stores.save_hash_cache(hashed, stored, run)
     return stores.load_hash_cache(spark, stored)
+
+
+@query(
+    SQL_PAGES
+    + """
+SELECT count(*) AS files, CAST(sum(strlen(html)) AS BIGINT) AS bytes, CAST(sum(strlen(html)) AS BIGINT) AS wire_bytes
+FROM judged WHERE NOT refused AND (drift IN ('0', '1', '2', '3') OR drift IN ('4', '5') AND contains(html, 'e'))
+"""
+)
+def run_counters(spark, folder):
+    """What a run says it moved, counted while it wrote its verdicts."""
+    _, result, _ = run_pages(spark, folder)
+    return sync.report(result, 1000).select("files", "bytes", "wire_bytes")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import epoch_micros, utc_timestamp
@@ -10,7 +12,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.scenarios import SQL_DOCUMENTS
 from tidemark.plans.session_queries import SQL_JOURNAL, SQL_TRANSFERS, TURNS
 from tidemark.sources.shared import shared_folder
-from tidemark.streaming import session_streams as ss, state_streams as st
+from tidemark.streaming import counters, keyed_state as ks, session_streams as ss, state_streams as st
 from tidemark.streaming.runs import append_available, latest, read_stream, update_available
 from tidemark.tables import table
 
@@ -98,6 +100,52 @@ def stream_sync(spark, folder):
     )
 
 
+def arriving_parts(spark, name, rows, at, parts=3):
+    """A table as a file stream that is started once per part; parts follow each other by ``at``."""
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    arriving = shared_folder(spark, f"{name}-arriving")
+    for part in range(parts if low is not None else 0):
+        place = F.least(F.floor((F.col(at) - low) * parts / (high - low + 1)), F.lit(parts - 1))
+        rows.filter(place == part).write.mode("append").parquet(arriving)
+        yield spark.readStream.schema(rows.schema).parquet(arriving)
+
+
+@query(SQL_LIVE)
+def stream_keyed_state(spark, folder):
+    """The same kept in a state store over two restarts. Forgotten paths go a day later; what is live
+    is read from the state, so no batch folds what others wrote."""
+    out, checkpoint = folders(spark, "stream_keyed_state")
+    with ks.state_settings(spark):
+        for events in arriving_parts(spark, "stream_keyed_state", table(spark, folder, "events"), "event_id"):
+            journal = sc.as_journal(events).withColumn("ts", utc_timestamp(events["ts"]))
+            update_available(ks.keyed_live_state(journal, ["user_id"], "1 day"), out, checkpoint)
+    return ks.stored_words(spark, checkpoint, ["user_id"]).select(
+        "user_id",
+        F.array_join("path", "/").alias("path"),
+        F.col("expected.size").alias("size"),
+        F.col("expected.mtime").alias("mtime"),
+    )
+
+
+LISTING_BUCKETS = 16
+
+
+@query(
+    SQL_DOCUMENTS
+    + "SELECT path, decision, reason, CASE WHEN decision = 'Need' THEN CAST(0 AS BIGINT) END AS from_offset FROM decided"
+)
+def stream_sync_buckets(spark, folder):
+    """The same against a published listing, of which a batch reads the buckets that it touches."""
+    offered = sc.as_offer(sc.as_source(read_stream(spark, folder, "documents")))
+    out, checkpoint = folders(spark, "stream_sync_buckets")
+    held = shared_folder(spark, "stream_sync_buckets-held")
+    st.publish_listing(sc.target_listing(spark, folder), held, LISTING_BUCKETS)
+    st.run_sync(offered, held, out, checkpoint)
+    return spark.read.parquet(out).select(
+        F.array_join("path", "/").alias("path"), "decision", "reason", "from_offset"
+    )
+
+
 @query("SELECT user_id, count(*) AS records, sum(event_id)::BIGINT AS checksum FROM events GROUP BY 1")
 def stream_redelivery(spark, folder):
     events = read_stream(spark, folder, "events").select("event_id", "user_id", "ts")
@@ -121,8 +169,7 @@ def as_turn_log(conversations):
     )
 
 
-@query(
-    """
+SQL_TURNS = """
 WITH stepped AS (
   SELECT conv_id, turn AS seq, role AS kind, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY turn), 'START') AS before
   FROM conversations
@@ -134,7 +181,9 @@ SELECT conv_id, seq, expected, kind AS got FROM steps WHERE kind <> expected
 UNION ALL
 SELECT conv_id, max(turn) + 1, 'assistant', 'END' FROM conversations GROUP BY 1 HAVING arg_max(role, turn) <> 'assistant'
 """
-)
+
+
+@query(SQL_TURNS)
 def stream_violations(spark, folder):
     log = as_turn_log(read_stream(spark, folder, "conversations"))
     out, checkpoint = folders(spark, "stream_violations")
@@ -145,6 +194,20 @@ def stream_violations(spark, folder):
     return found.unionByName(ss.open_ends(spark, "conv_id", out, state, finals))
 
 
+@query(SQL_TURNS)
+def stream_keyed_violations(spark, folder):
+    """The same from the last message of each session, kept in a state store over two restarts."""
+    log = as_turn_log(table(spark, folder, "conversations"))
+    out, checkpoint = folders(spark, "stream_keyed_violations")
+    finals = ["assistant"]
+    with ks.state_settings(spark):
+        for arriving in arriving_parts(spark, "stream_keyed_violations", log, "seq"):
+            found = ks.keyed_violations(arriving, "conv_id", TURNS, finals)
+            append_available(found, out, checkpoint)
+    written = spark.read.schema(found.schema).parquet(out)
+    return written.unionByName(ks.open_sessions(spark, checkpoint, "conv_id", finals))
+
+
 @query(
     """
 WITH done AS (SELECT conv_id, turn + 1 AS turn FROM conversations WHERE role = 'user')
@@ -208,9 +271,10 @@ SELECT * FROM closed WHERE ended_us + 21600000000 <= (SELECT max(ts_us) // 1000
 )
 def stream_idle_sessions(spark, folder):
     log = timed_transfers(spark, folder).select("user_id", "ts")
-    closed = appended(
-        spark, "stream_idle", ss.stream_idle_sessions(log, ["user_id"], "6 hours", "1 hour")
-    )
+    with ss.merging_early(spark):
+        closed = appended(
+            spark, "stream_idle", ss.stream_idle_sessions(log, ["user_id"], "6 hours", "1 hour")
+        )
     return closed.select(
         "user_id",
         F.unix_micros("started").alias("started_us"),
@@ -249,3 +313,26 @@ def stream_handshakes(spark, folder):
         F.unix_micros("opened").alias("opened_us"),
         F.unix_micros("answered").alias("answered_us"),
     )
+
+
+@query(SQL_TRANSFERS + "SELECT count(*) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(wire_bytes) AS BIGINT) AS wire_bytes FROM transfers")
+def stream_counters(spark, folder):
+    """Files and bytes of a stream as its batches reported them; what it wrote isn't read."""
+    out, checkpoint = folders(spark, "stream_counters")
+    seen = counters.Counters()
+    spark.streams.addListener(seen)
+    try:
+        stream = counters.counted(timed_transfers(spark, folder), bytes=F.col("bytes"), wire_bytes=F.col("wire_bytes"))
+        running = append_available(stream, out, checkpoint, {"availableNow": True})
+        running.awaitTermination()
+        return spark.createDataFrame([reported(seen, str(running.id))], "files bigint, bytes bigint, wire_bytes bigint")
+    finally:
+        spark.streams.removeListener(seen)
+
+
+def reported(seen, query_id, patience=20.0):
+    """Totals once the last batch's report, which follows its end, has come."""
+    until = time.monotonic() + patience
+    while not (totals := seen.totals(query_id)) and time.monotonic() < until:
+        time.sleep(0.05)
+    return tuple(totals.get(name, 0) for name in ("files", "bytes", "wire_bytes"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from tidemark.functions.content import fingerprint, should_hash, worth_hashing_target
 from tidemark.functions.paths import display_path
@@ -19,6 +19,8 @@ from tidemark.sources import stores
 from tidemark.sources.shared import discard, settle, shared_folder
 
 OBJECT_COLUMNS = ("path", "size", "mtime", "mode", "body")
+#: The failure of a run that met another publisher; trying again can help.
+CONFLICT = "PublishConflict"
 
 
 class PathRefused(ValueError):
@@ -57,6 +59,8 @@ class SyncResult:
     transferred: DataFrame
     failures: DataFrame
     version: str | None
+    #: Files and bytes that arrived, counted while the verdicts were written.
+    moved: dict[str, int] | None = None
 
 
 def plan_sync(
@@ -203,6 +207,7 @@ def apply_sync(
     bound: BroadcastBound = BroadcastBound(),
     part_bodies: DataFrame | None = None,
     buckets: int | None = None,
+    bucket_bytes: int = stores.BUCKET_BYTES,
 ) -> SyncResult:
     """Carries a plan out: journal, stage, verify, publish, forget.
 
@@ -211,11 +216,14 @@ def apply_sync(
 
     ``target`` None means what is published at ``dest``, which the plan was made for: then only
     buckets with a changed row are read and written. Another target is written whole. The first
-    version fixes the number of ``buckets``; the default is the session's shuffle partitions.
+    version has as many ``buckets`` as asked for, or as its bytes need; later ones split those that
+    would hold more than ``bucket_bytes``. If somebody else has published meanwhile, this run fails
+    with ``PublishConflict`` before it changes what readers see, and may be tried again.
     ``part_bodies`` (path, body) are what the receiver holds of unfinished objects; their hash is
     taken again with that of the rest, and a wrong one fails the object.
     """
     spark = source.sparkSession
+    seen, _ = stores.current_commit(spark, dest)
     wanted = diff.needed(plan.decisions)
     if plan.options.dry_run:
         nothing = stores.empty(spark, HASH_CACHE).select("path", "size", "hash")
@@ -253,7 +261,13 @@ def apply_sync(
         ).alias("ok"),
         F.col("hash").isNull().alias("vanished"),
     )
-    verdicts = settle(checked, "verdicts")
+    moving, arrived_well = Observation("moved"), F.col("ok")
+    counted = checked.observe(
+        moving,
+        F.count_if(arrived_well).alias("files"),
+        F.coalesce(F.sum(F.when(arrived_well, F.col("sent"))), F.lit(0)).cast("bigint").alias("bytes"),
+    )
+    verdicts = settle(counted, "verdicts")
     failures = verdicts.filter(~F.col("ok")).select(
         "path", F.when(F.col("vanished"), "SourceVanished").otherwise("HashMismatch").alias("error")
     )
@@ -263,16 +277,14 @@ def apply_sync(
     marks = marks.unionByName(
         plan.repairs.select("path", F.lit(False).alias("__new"), F.col("new_mtime").alias("__mtime"))
     )
-    layout = None
+    layout = touched = None
     if target is None:
         layout = stores.bucket_map(spark, dest)
         held_schema = source.select(*OBJECT_COLUMNS).schema
         if layout is None:
             target = stores.read_current(spark, dest, held_schema)
         else:
-            bucket = stores.bucket_of(F.col("path"), layout.buckets).alias("bucket")
-            # No more of them than the published table has buckets.
-            touched = [row["bucket"] for row in marks.select(bucket).distinct().collect()]
+            touched = stores.touched_buckets(marks, layout)
             target = stores.read_buckets(spark, dest, held_schema, layout, touched)
     few = fits(marks, bound)
     marks = F.broadcast(marks) if few else marks
@@ -285,13 +297,20 @@ def apply_sync(
     )
     good = F.broadcast(good) if few else good
     arrived = staged.select(*OBJECT_COLUMNS).join(good, "path", "left_semi")
+    rows, whole = kept.unionByName(arrived), F.lit("0-0").alias("bucket")
+    sizes = verdicts.filter(F.col("ok")).select("path", "size")
+    placed = sizes.select("size", whole) if layout is None else stores.in_buckets(sizes, layout)
     if layout is None:
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        version = stores.publish_buckets(kept.unionByName(arrived), dest, n)
-    elif touched:
-        version = stores.publish_buckets(
-            kept.unionByName(arrived), dest, layout.buckets, layout.versions
-        )
+        placed = placed.unionByName(kept.select("size", whole))
+    if layout is None or touched:
+        coming = placed.groupBy("bucket").agg(F.sum("size").cast("bigint").alias("size")).collect()
+        incoming = {row["bucket"]: row["size"] for row in coming}
+        try:
+            version = stores.publish_buckets(
+                rows, dest, layout, touched, incoming, buckets, bucket_bytes, seen
+            )
+        except stores.PublishConflict as conflict:
+            raise SyncFailed(CONFLICT, str(conflict)) from conflict
     else:
         version = stores.current_version(spark, dest)
     discard(spark, staging)
@@ -303,7 +322,7 @@ def apply_sync(
         stores.append_journal(forgot_records(seen, first), f"{state_folder}/journal")
         stores.compact(spark, f"{state_folder}/snapshot", f"{state_folder}/journal")
     transferred = verdicts.filter(F.col("ok")).select("path", "size", "hash", "sent")
-    return SyncResult(plan, transferred, failures, version)
+    return SyncResult(plan, transferred, failures, version, moving.get)
 
 
 def require_complete(result: SyncResult) -> SyncResult:
@@ -337,7 +356,7 @@ def sync_with_retry(attempt_once, retry: RetryPolicy = RetryPolicy(), sleep=time
         try:
             return attempt_once(attempt)
         except SyncFailed as failure:
-            if attempt >= retry.attempts or failure.kind not in RECOVERABLE:
+            if attempt >= retry.attempts or failure.kind not in (*RECOVERABLE, CONFLICT):
                 raise
             sleep(wait_after(attempt, retry) / 1000)
             attempt += 1
@@ -345,10 +364,12 @@ def sync_with_retry(attempt_once, retry: RetryPolicy = RetryPolicy(), sleep=time
 
 def report(result: SyncResult, elapsed_ms: int) -> DataFrame:
     """The closing block of a run as one row. What was resumed counts from where it went on;
-    bodies are sent as they are."""
-    moved = result.transferred.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.coalesce(F.sum("sent"), F.lit(0).cast("bigint")).alias("bytes"),
-        F.coalesce(F.sum("sent"), F.lit(0).cast("bigint")).alias("wire_bytes"),
-    )
+    bodies are sent as they are. A run's own counters are used where it has them, so nothing is read."""
+    if result.moved is not None:
+        spark = result.transferred.sparkSession
+        row = (result.moved["files"], result.moved["bytes"], result.moved["bytes"])
+        moved = spark.createDataFrame([row], "files bigint, bytes bigint, wire_bytes bigint")
+    else:
+        sent = F.coalesce(F.sum("sent"), F.lit(0).cast("bigint"))
+        moved = result.transferred.agg(F.count(F.lit(1)).alias("files"), sent.alias("bytes"), sent.alias("wire_bytes"))
     return stats_block(moved.withColumn("elapsed_ms", F.lit(elapsed_ms).cast("bigint")))

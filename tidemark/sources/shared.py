@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,12 +24,36 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders settled within ``scratch``, by the thread that is in it.
+_SCRATCH: dict[int, list[str]] = {}
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is settled inside is deleted at the end, also after a failure. For steps that are repeated
+    without end, such as the micro-batches of a stream; their results must have been written by then."""
+    thread = threading.get_ident()
+    outer = _SCRATCH.get(thread)
+    folders = _SCRATCH[thread] = []
+    try:
+        yield
+    finally:
+        del _SCRATCH[thread]
+        if outer is not None:
+            _SCRATCH[thread] = outer
+        for folder in folders:
+            discard(spark, folder)
+
+
 def settle(
     df: DataFrame, name: str, compression: str = "snappy", folder: str | None = None
 ) -> DataFrame:
     """The same rows read back from a written table: computed once, safe against lost executors."""
     spark = df.sparkSession
-    folder = folder or shared_folder(spark, name)
+    if folder is None:
+        folder = shared_folder(spark, name)
+        if (passing := _SCRATCH.get(threading.get_ident())) is not None:
+            passing.append(folder)
     df.write.parquet(folder, compression=compression)
     return spark.read.schema(df.schema).parquet(folder)
 

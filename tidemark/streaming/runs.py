@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,12 +16,20 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
-def finish(writer: DataStreamWriter, spark: SparkSession) -> None:
-    """Starts a stream and waits for it. The session's settings rule its number of state stores."""
-    writer.start().awaitTermination()
+def start(writer: DataStreamWriter, trigger: dict | None = None) -> StreamingQuery | None:
+    """Starts a stream. Without a trigger it takes what is there and is waited for; with one, such as
+    ``{"processingTime": "1 minute"}``, it goes on until it is stopped and is returned. The session's
+    settings at the start rule its number of state stores."""
+    running = writer.trigger(**(trigger or {"availableNow": True})).start()
+    if trigger is not None:
+        return running
+    running.awaitTermination()
+    return None
 
 
-def append_available(stream: DataFrame, out: str, checkpoint: str) -> None:
+def append_available(
+    stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery | None:
     """Runs over what is there and stops. The parquet sink commits each micro-batch once, so a
     restart from the checkpoint adds nothing twice."""
     writer = (
@@ -29,12 +37,13 @@ def append_available(stream: DataFrame, out: str, checkpoint: str) -> None:
         .format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
     )
-    finish(writer, stream.sparkSession)
+    return start(writer, trigger)
 
 
-def update_available(stream: DataFrame, out: str, checkpoint: str) -> None:
+def update_available(
+    stream: DataFrame, out: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery | None:
     """Like ``append_available`` for changed rows. A micro-batch overwrites its own folder, so
     running it again after a failure changes nothing."""
 
@@ -45,9 +54,8 @@ def update_available(stream: DataFrame, out: str, checkpoint: str) -> None:
         stream.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
     )
-    finish(writer, stream.sparkSession)
+    return start(writer, trigger)
 
 
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:

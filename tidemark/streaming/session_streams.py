@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.operators import sessions as se
-from tidemark.sources.shared import settle
-from tidemark.streaming.runs import finish
+from tidemark.sources.shared import scratch, settle
+from tidemark.streaming.runs import start
 
 
 LAST = "seq bigint, kind string, ts timestamp"
@@ -21,7 +23,8 @@ def run_violations(
     transitions: dict[str, list[str]],
     final_kinds: list[str] | None = None,
     within: str = "1 hour",
-) -> None:
+    trigger: dict | None = None,
+):
     """Writes the messages that may not follow the one before, and the sessions that ended early.
 
     Each micro-batch is judged by the batch plan, which cuts hot sessions, together with one
@@ -37,6 +40,10 @@ def run_violations(
     carried_schema = f"{session} {log.schema[session].dataType.simpleString()}, {LAST}"
 
     def judge(batch: DataFrame, batch_id: int) -> None:
+        with scratch(spark):  # else every micro-batch would leave its tables behind
+            judged(batch, batch_id)
+
+    def judged(batch: DataFrame, batch_id: int) -> None:
         carried = spark.createDataFrame([], carried_schema)
         if batch_id:
             carried = spark.read.schema(carried_schema).parquet(f"{state}/{(batch_id - 1) % 2}")
@@ -70,12 +77,8 @@ def run_violations(
             found = steps.unionByName(early_ends(closed, session, finals))
         found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    writer = (
-        log.writeStream.foreachBatch(judge)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-    )
-    finish(writer, spark)
+    writer = log.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
+    return start(writer, trigger)
 
 
 def early_ends(last: DataFrame, session: str, final_kinds: list[str]) -> DataFrame:
@@ -97,11 +100,26 @@ def open_ends(
     return early_ends(spark.read.parquet(f"{state}/{batch % 2}"), session, final_kinds)
 
 
+MERGE_EARLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
+@contextmanager
+def merging_early(spark: SparkSession):
+    """The setting that a stream of session windows is started under; it keeps it, the session doesn't."""
+    before = spark.conf.get(MERGE_EARLY, None)
+    spark.conf.set(MERGE_EARLY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(MERGE_EARLY) if before is None else spark.conf.set(MERGE_EARLY, before)
+
+
 def stream_idle_sessions(
     log: DataFrame, key: list[str], gap: str = "60 seconds", late: str = "1 hour"
 ) -> DataFrame:
-    """Sessions closed by silence. Set ``spark.sql.sessionWindow.merge.sessions.in.local.partition``
-    to have busy keys merged before the shuffle."""
+    """Sessions closed by silence. Start it within ``merging_early``: then each task merges what it has of
+    a key into partial sessions before the shuffle, so a key with half of the rows is worked on by
+    all tasks and sends a few rows from each."""
     return (
         log.withWatermark("ts", late)
         .groupBy(*key, F.session_window("ts", gap).alias("session"))

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidemark.functions.paths import validate_path
 from tidemark.operators import diff
-from tidemark.schema import LimitExceeded, Limits
+from tidemark.schema import TARGET, LimitExceeded, Limits
 from tidemark.sources import stores
-from tidemark.sources.shared import settle
-from tidemark.streaming.runs import finish
+from tidemark.sources.shared import scratch, settle
+from tidemark.streaming.runs import start
 
 
 def stream_state(journal: DataFrame, keys: list[str], limits: Limits = Limits()) -> DataFrame:
@@ -36,19 +36,25 @@ def run_state(
     keep: int,
     limits: Limits = Limits(),
     buckets: int | None = None,
-) -> None:
+    trigger: dict | None = None,
+):
     """Folds a journal stream into a published table of the last word on each path.
 
     A batch reads and writes only the buckets of its paths. A forgotten path stays until it is
     ``keep`` numbers behind the highest of the batches before; a record further behind than that
     is late and left out, so none brings back what was let go. A batch folded again changes
-    nothing.
+    nothing. Before a batch publishes, versions that the current one doesn't use are deleted: a
+    reader has as long as the next batch takes to come.
     """
     spark = journal.sparkSession
     tops = f"{dest.rstrip('/')}.top"
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def fold(batch: DataFrame, batch_id: int) -> None:
+        with scratch(spark):
+            folded(batch, batch_id)
+
+    def folded(batch: DataFrame, batch_id: int) -> None:
         top = spark.read.parquet(f"{tops}/{(batch_id - 1) % 2}").first()[0] if batch_id else None
         in_time = F.lit(True) if top is None else F.col("seq") >= top - keep
         fresh = settle(stream_state(batch.filter(in_time), keys, limits), "folded")
@@ -58,25 +64,21 @@ def run_state(
             f"{tops}/{batch_id % 2}"
         )
         layout = stores.bucket_map(spark, dest)
-        layout = layout or stores.BucketMap(n, {})
-        bucket = stores.bucket_of(F.col("path"), layout.buckets).alias("bucket")
-        touched = {row["bucket"] for row in fresh.select(bucket).distinct().collect()}
-        if not touched:
+        touched = None if layout is None else stores.touched_buckets(fresh, layout)
+        if not (fresh.take(1) if touched is None else touched):
             return
-        held = stores.read_buckets(spark, dest, fresh.schema, layout, touched)
-        folded = held.unionByName(fresh).groupBy(*keys, "path").agg(
+        held = fresh.limit(0)
+        if layout is not None:
+            stores.remove_unreferenced(spark, dest)
+            held = stores.read_buckets(spark, dest, fresh.schema, layout, touched)
+        both = held.unionByName(fresh).groupBy(*keys, "path").agg(
             F.max("seq").alias("seq"), F.max_by("last", "seq").alias("last")
         )
-        rest = folded.filter((F.col("last.op") == "started") | in_time)
-        others = {b: v for b, v in layout.versions.items() if b not in touched}
-        stores.publish_buckets(rest, dest, layout.buckets, others)
-
-    writer = (
-        journal.writeStream.foreachBatch(fold)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-    )
-    finish(writer, spark)
+        rest = both.filter((F.col("last.op") == "started") | in_time)
+        stores.publish_buckets(rest, dest, layout, touched, buckets=n)
+
+    writer = journal.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    return start(writer, trigger)
 
 
 def read_state(spark, dest: str, journal: DataFrame, keys: list[str]) -> DataFrame:
@@ -101,29 +103,37 @@ def stream_sync(
 
 def run_sync(
     manifest: DataFrame,
-    target: DataFrame,
+    target: DataFrame | str,
     out: str,
     checkpoint: str,
     limits: Limits = Limits(),
     partials: DataFrame | None = None,
-) -> None:
+    trigger: dict | None = None,
+):
     """Writes the answers batch by batch, and stops once more files are wanted than allowed.
 
-    The target's listing is settled once for all batches. A batch adds its wanted rows to the
+    ``target`` is a listing, settled once for all batches, or the folder of one that ``publish_listing``
+    wrote: then a batch reads only the buckets that its paths are in, as they are published when it
+    comes, so its cost follows the batch and not the target. A batch adds its wanted rows to the
     number the batch before it left, so many small batches cannot get past the bound and none
     reads what others wrote. A batch run again replaces its own answers and its own number.
     """
     spark = manifest.sparkSession
-    held = settle(target, "stream-target")
+    held = None if isinstance(target, str) else settle(target, "stream-target")
     totals = f"{out.rstrip('/')}.wanted"
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        decided = diff.decide(batch, held, partials)
-        answers = f"{out}/batch={batch_id}"
-        decided.write.mode("overwrite").parquet(answers)
+        with scratch(spark):
+            if held is None:
+                offered = settle(batch, "offered")
+                decided = diff.decide(offered, listing_near(spark, target, offered), partials)
+            else:
+                decided = diff.decide(batch, held, partials)
+            decided.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         if limits.max_files is None:
             return
-        wanted = spark.read.parquet(answers).filter(F.col("decision") == "Need").count()
+        answers = spark.read.parquet(f"{out}/batch={batch_id}")
+        wanted = answers.filter(F.col("decision") == "Need").count()
         if batch_id:
             wanted += spark.read.parquet(f"{totals}/{(batch_id - 1) % 2}").first()[0]
         total = spark.createDataFrame([(wanted,)], "wanted bigint")
@@ -131,12 +141,19 @@ def run_sync(
         if wanted > limits.max_files:
             raise LimitExceeded(f"max_files is {limits.max_files}, {wanted} are wanted")
 
-    writer = (
-        manifest.writeStream.foreachBatch(answer)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-    )
-    finish(writer, spark)
+    writer = manifest.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint)
+    return start(writer, trigger)
+
+
+def publish_listing(target: DataFrame, dest: str, buckets: int) -> str:
+    """Publishes a target's listing in buckets of paths, for ``run_sync``."""
+    return stores.publish_buckets(target.select("path", "size", "mtime", "hash"), dest, buckets=buckets)
+
+
+def listing_near(spark, dest: str, offered: DataFrame) -> DataFrame:
+    """The rows of a published listing that are in the same buckets as some offered paths."""
+    layout = stores.bucket_map(spark, dest) or stores.BucketMap()
+    return stores.read_buckets(spark, dest, TARGET, layout, stores.touched_buckets(offered, layout))
 
 
 def drop_redelivered(
