@@ -130,7 +130,7 @@ def test_locations_of_files_and_of_object_stores(spark, tmp_path):
     by_mount = {r["location"]: r["hash"] for r in tree.fingerprint_files(listed_files).collect()}
     assert by_store == by_mount and None not in by_store.values()
     assert plain_tree(files["atlas"], 1024**2, 4096) in by_store.values()
-    far = listed_files.withColumn("location", F.lit("s3a://bucket/x"))
+    far = listed_files.withColumn("location", F.lit("elsewhere://bucket/x"))
     with pytest.raises(Exception, match="not on a mount"):
         tree.fingerprint_files(far).collect()
 

@@ -83,17 +83,11 @@ def _digest_in_order(batches):
         yield rows([row()])
 
 
-def tree_digest(
-    chunks: DataFrame, leaf_bytes: int = LEAF_BYTES, fan_out: int = FAN_OUT
-) -> DataFrame:
-    """A digest that spreads: hash every leaf, then the ordered leaf hashes, in two levels.
+def leaf_hashes(chunks: DataFrame, leaf_bytes: int = LEAF_BYTES) -> DataFrame:
+    """``file_id, leaf, size, hash`` of every leaf of objects in chunks, however they were cut.
 
-    It depends on the bytes only, not on how they were cut into chunks. The chunks are passed
-    over once. One that fills a leaf exactly is hashed where it is and only its hash travels;
-    only pieces that share a leaf are shuffled as bytes. No group is larger than one leaf or
-    ``fan_out`` hashes, so one huge object is spread over as many tasks as it has leaves. It is a
-    different digest from SHA-256 of the whole. An object with a chunk that could not be read
-    (NULL data) has a NULL digest.
+    A chunk that fills a leaf exactly is hashed where it is and only its hash travels; only pieces
+    that share a leaf are shuffled as bytes. A leaf with a NULL piece has a NULL hash.
     """
     leaf = F.lit(leaf_bytes).cast("bigint")
     offset = F.col("offset")
@@ -111,7 +105,7 @@ def tree_digest(
     end = F.least(offset + F.col("length"), (F.col("leaf") + 1) * leaf)
     fills = (offset % leaf == 0) & (F.col("length") == leaf)
     part = F.substring(F.col("data"), (begin - offset + 1).cast("int"), (end - begin).cast("int"))
-    leaves = (
+    return (
         pieces.select(
             "file_id",
             "leaf",
@@ -133,27 +127,44 @@ def tree_digest(
             ).alias("hash"),
         )
     )
-    too_many = F.raise_error(F.lit("the object has more leaves than two levels can hold"))
-    branch = F.when(
-        F.col("leaf") < fan_out * fan_out,
-        whole_div(F.col("leaf"), F.lit(fan_out).cast("bigint")),
-    ).otherwise(too_many.cast("bigint"))
-    branches = (
-        leaves.withColumn("branch", branch)
-        .groupBy("file_id", "branch")
-        .agg(
-            F.sum("size").alias("size"),
-            F.when(
-                F.bool_and(F.col("hash").isNotNull()),
-                F.sha2(F.expr("listagg(hash) WITHIN GROUP (ORDER BY leaf)").cast("binary"), 256),
-            ).alias("hash"),
-        )
+
+
+def tree_digest(
+    chunks: DataFrame, leaf_bytes: int = LEAF_BYTES, fan_out: int = FAN_OUT
+) -> DataFrame:
+    """A digest that spreads: hash every leaf, then the ordered leaf hashes, in levels of ``fan_out``.
+
+    It depends on the bytes only, not on how they were cut into chunks. The chunks are passed
+    over once. No group is larger than one leaf or ``fan_out`` hashes, so one huge object is spread
+    over as many tasks as it has leaves. Up to ``fan_out`` branches are hashed into the digest;
+    more are hashed in groups of as many first, which holds for every object that a long can
+    measure. It is a different digest from SHA-256 of the whole. An object with a chunk that could
+    not be read (NULL data) has a NULL digest.
+    """
+    wide = F.lit(fan_out).cast("bigint")
+    branches = _joined_hashes(
+        leaf_hashes(chunks, leaf_bytes).withColumn("branch", whole_div(F.col("leaf"), wide)), "branch", "leaf"
+    )
+    limbs = _joined_hashes(branches.withColumn("limb", whole_div(F.col("branch"), wide)), "limb", "branch")
+    # An only limb is the hash of its branches already, as it is of most objects.
+    return limbs.groupBy("file_id").agg(
+        F.sum("size").alias("size"),
+        F.when(
+            F.bool_and(F.col("hash").isNotNull()),
+            F.when(F.count(F.lit(1)) == 1, F.max("hash")).otherwise(
+                F.sha2(F.expr("listagg(hash) WITHIN GROUP (ORDER BY limb)").cast("binary"), 256)
+            ),
+        ).alias("hash"),
     )
-    return branches.groupBy("file_id").agg(
+
+
+def _joined_hashes(nodes: DataFrame, above: str, at: str) -> DataFrame:
+    """One hash of the ordered hashes of each group; NULL where one of them is."""
+    return nodes.groupBy("file_id", above).agg(
         F.sum("size").alias("size"),
         F.when(
             F.bool_and(F.col("hash").isNotNull()),
-            F.sha2(F.expr("listagg(hash) WITHIN GROUP (ORDER BY branch)").cast("binary"), 256),
+            F.sha2(F.expr(f"listagg(hash) WITHIN GROUP (ORDER BY {at})").cast("binary"), 256),
         ).alias("hash"),
     )
 

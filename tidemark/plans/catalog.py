@@ -7,6 +7,7 @@ from tidemark.plans import (  # noqa: F401
     session_queries,
     stream_queries,
     sync_queries,
+    tree_queries,
 )
 from tidemark.plans.registry import ORACLES, QUERIES
 

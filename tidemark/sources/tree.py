@@ -19,6 +19,7 @@ from tidemark.functions.paths import validate_path
 from tidemark.operators.fingerprint import LEAF_BYTES, tree_digest
 from tidemark.operators.manifest import drop_state_dir
 from tidemark.schema import STATE_DIR, Limits
+from tidemark.sources import objects
 from tidemark.sources.shared import settle
 
 LISTED = "path array<string>, size bigint, mtime bigint, mode int, location string, utf8 boolean"
@@ -183,7 +184,8 @@ def split_inventory(
 def read_contents(
     files: DataFrame, chunk_bytes: int = LEAF_BYTES, id_col: str = "file_id"
 ) -> DataFrame:
-    """Chunk rows of files with ``location`` and ``size``, on a mount every executor can reach.
+    """Chunk rows of files with ``location`` and ``size``, on a mount every executor can reach or named
+    by URIs, of which each piece is a ranged read of its own.
 
     Pieces are dealt out to a fixed number of tasks, several per core: a row that names a piece
     is tiny however many bytes it stands for, so adaptive coalescing would put them all in one
@@ -234,7 +236,7 @@ def on_mount(location: str) -> str:
     if location.startswith("file:"):
         return "/" + location.removeprefix("file:").lstrip("/")
     if "://" in location:
-        raise ValueError(f"{location} is not on a mount; use fingerprint_objects")
+        raise ValueError(f"{location} is not on a mount; use inventory_objects")
     return location
 
 
@@ -242,6 +244,9 @@ def _piece(location: str, size: int, offset: int, chunk_bytes: int) -> bytes | N
     """One piece of a file, or None where the file does not hold it as listed."""
     expected = min(chunk_bytes, size - offset)
     is_last = offset + expected >= size
+    if "://" in location:
+        data = objects.piece(location, offset, expected + is_last)
+        return data if data is not None and len(data) == expected else None
     try:
         with open(on_mount(location), "rb") as body:
             body.seek(offset)
