@@ -25,8 +25,6 @@ UNKNOWN = "und"
 SHARD = 1 << 17
 #: Bytes of text cut into words at once, words remembered by a task, and counts held before they are handed on.
 SLICE, REMEMBERED, HELD = 4 << 20, 300_000, 1 << 21
-#: What goes on from a phrase is counted in one task for every so many occurrences of the phrase.
-PART = 1 << 16
 #: Bits of the filter for phrases that may go on. When full it lets all through, and counts stay exact.
 BITS = 1 << 23
 
@@ -73,17 +71,31 @@ def _packed(keys: dict[str, pa.Array], at: np.ndarray, words: list[bytes], n: np
     """Rows of many words each: those of a row end at ``at``, joined by line feeds, beside their counts."""
     ends = np.append(0, at)
     joined = [BREAK.join(words[i:j]) for i, j in zip(ends.tolist(), ends[1:].tolist())]
-    counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(n, pa.int64()))
-    return pa.RecordBatch.from_pydict({**keys, "words": pa.array(joined, pa.binary()), "n": counts})
+    return pa.RecordBatch.from_pydict({**keys, "words": pa.array(joined, pa.binary()), "n": _lists(ends, n)})
 
 
-def unpacked(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row for each word of packed rows with its count, summed; packed words are null for the key alone."""
-    words = F.coalesce(F.split(F.col("words").cast("string"), "\n"), F.array(F.lit(None).cast("string")))
-    # Rows of one key and part are in one task already, and so are those of a word.
-    dealt = rows.repartition(*keys, "part")
-    each = dealt.select(*keys, "part", F.explode(F.arrays_zip(words.alias("word"), F.col("n").alias("n"))).alias("x"))
-    return each.groupBy(*keys, "part", "x.word").agg(F.sum("x.n").alias("n")).drop("part")
+def _lists(ends: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+
+
+def unpacked(rows: DataFrame, *lists: str) -> DataFrame:
+    """One row for each word of packed rows, with its count, summed. Null words stand for no word.
+
+    Rows are dealt by ``part``, a hash of what is counted, so no frequent word or phrase is in one task,
+    and sums need no further shuffle.
+    """
+    words = F.coalesce(
+        F.split(F.col("words").cast("string"), "\n"), F.transform("n", lambda x: F.lit(None).cast("string"))
+    )
+    zipped = F.arrays_zip(words.alias("word"), *(F.col(name).alias(name) for name in (*lists, "n")))
+    keys = [name for name in rows.columns if name not in ("words", "n", *lists)]
+    each = rows.repartition(*keys).select(*keys, F.explode(zipped).alias("x")).select(*keys, "x.*")
+    return each.groupBy(*keys, *lists, "word").agg(F.sum("n").alias("n"))
+
+
+def parts_of(spark: SparkSession) -> int:
+    """How many parts a task deals its counts into: some for every task that sums them."""
+    return 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _word_counter(parts: int):
@@ -154,10 +166,10 @@ class Shard:
     symbols: dict[str, dict[bytes, int]]
     trie: Trie
     filter: np.ndarray | None
-    parts: np.ndarray
+    parts: int
 
 
-def shard_of(phrases: list[tuple[str, bytes]], going_on: np.ndarray | None, often_each: list[int] | None = None) -> Shard:
+def shard_of(phrases: list[tuple[str, bytes]], going_on: np.ndarray | None, parts: int = 64) -> Shard:
     """Words that stand in more phrases have smaller symbols, so that children lie close together."""
     cut = [(lang, phrase.split(b" ")) for lang, phrase in phrases]
     often = Counter((lang, word) for lang, words in cut for word in words)
@@ -167,7 +179,6 @@ def shard_of(phrases: list[tuple[str, bytes]], going_on: np.ndarray | None, ofte
     symbols: dict[str, dict[bytes, int]] = {}
     for (lang, word), symbol in number.items():
         symbols.setdefault(lang, {})[word] = symbol
-    parts = 1 + np.array(often_each or [0] * len(phrases), np.int64)[order] // PART
     return Shard([phrases[i] for i in order], symbols, build(keys[order]), going_on, parts)
 
 
@@ -218,13 +229,13 @@ class _Seen:
             return
         key, n = self.merged()
         leaf, word = key >> 32, key & 0xFFFFFFFF
-        part = (self.hashes[word] % self.shard.parts[leaf].astype(np.uint64)).astype(np.int64)
-        order = np.lexsort((word, part, leaf))
-        leaf, part = leaf[order], part[order]
-        opens = np.flatnonzero(np.append(True, (leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1])))
-        words = [self.words[i] for i in word[order].tolist()]
-        keys = {"leaf": pa.array(leaf[opens], pa.int64()), "part": pa.array(part[opens], pa.int32())}
-        yield _packed(keys, np.append(opens[1:], len(words)), words, n[order])
+        mixed = (self.hashes[word] ^ leaf.astype(np.uint64)) * _MULTIPLIER
+        part = ((mixed >> np.uint64(33)) % np.uint64(self.shard.parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")  # within a part by phrase
+        found, opens = np.unique(part[order], return_index=True)
+        ends = np.append(opens[1:], len(order))
+        keys = {"part": pa.array(found, pa.int32()), "leaves": _lists(np.append(0, ends), leaf[order])}
+        yield _packed(keys, ends, [self.words[i] for i in word[order].tolist()], n[order])
 
 
 def _walker(shared):
@@ -252,9 +263,11 @@ def _walker(shared):
         for here in seen.values():
             yield from here.rows()
         at = np.flatnonzero(totals)
-        alone = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1), pa.int32()), pa.array(totals[at], pa.int64()))
-        keys = {"leaf": pa.array(at, pa.int64()), "part": pa.array(np.full(len(at), -1), pa.int32())}
-        yield pa.RecordBatch.from_pydict({**keys, "words": pa.nulls(len(at), pa.binary()), "n": alone})
+        at = at[np.argsort(at % shard.parts, kind="stable")]
+        found, opens = np.unique(at % shard.parts, return_index=True)
+        ends = np.append(opens, len(at))
+        keys = {"part": pa.array(found, pa.int32()), "leaves": _lists(ends, at), "words": pa.nulls(len(found), pa.binary())}
+        yield pa.RecordBatch.from_pydict({**keys, "n": _lists(ends, totals[at])})
 
     return walk
 
@@ -288,13 +301,14 @@ def _walked(spark: SparkSession, texts: DataFrame, phrases: DataFrame, last: boo
     going_on = None if last or not n else phrase_filter(phrases)
     done = None
     for number in range(n):
-        rows = dealt.filter(F.col("shard") == number).select("lang", "phrase", "f").toArrow()
-        listed = sorted(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist(), rows["f"].to_pylist()))
+        rows = dealt.filter(F.col("shard") == number).select("lang", "phrase").toArrow()
+        listed = sorted(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist()))
         if not listed:
             continue
-        shared = spark.sparkContext.broadcast(shard_of([x[:2] for x in listed], going_on, [x[2] for x in listed]))
-        walked = texts.mapInArrow(_walker(shared), "leaf long, part int, words binary, n array<long>")
-        counted = unpacked(walked, "leaf").filter(F.col("n") >= least).select("leaf", F.col("word").cast("binary").alias("word"), "n")
+        shared = spark.sparkContext.broadcast(shard_of(listed, going_on, parts_of(spark)))
+        walked = texts.mapInArrow(_walker(shared), "part int, leaves array<long>, words binary, n array<long>")
+        counted = unpacked(walked, "leaves").filter(F.col("n") >= least)
+        counted = counted.select(F.col("leaves").alias("leaf"), F.col("word").cast("binary").alias("word"), "n")
         named = settle(counted.mapInArrow(_namer(shared), "lang string, phrase binary, word binary, f long"), "phrases")
         shared.destroy()
         done = named if done is None else done.unionByName(named)
@@ -315,8 +329,8 @@ def phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int
     texts = docs.select(
         F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text")
     )
-    parts = 4 * max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = unpacked(texts.mapInArrow(_word_counter(parts), "lang string, part int, words binary, n array<long>"), "lang")
+    counter = _word_counter(parts_of(spark))
+    counted = unpacked(texts.mapInArrow(counter, "lang string, part int, words binary, n array<long>"))
     kept = settle(counted.filter((F.col("n") >= least) | F.col("word").isNull()).withColumn("word", F.col("word").cast("binary")), "words")
     totals = kept.filter("word is null").select("lang", "n")
     found = [kept.filter(F.col("word").isNotNull() & (F.col("n") >= least)).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))]
@@ -327,7 +341,7 @@ def phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int
             break
         if size > 1:
             found.append(done.filter("word is null").select("lang", "phrase", F.lit(size).alias("size"), "f"))
-        candidates = done.filter("word is not null").select("lang", F.concat("phrase", F.lit(b" "), "word").alias("phrase"), "f")
+        candidates = done.filter("word is not null").select("lang", F.concat("phrase", F.lit(b" "), "word").alias("phrase"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
