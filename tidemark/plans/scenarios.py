@@ -146,7 +146,7 @@ def event_journal(spark: SparkSession, folder: str) -> DataFrame:
     return as_journal(table(spark, folder, "events"))
 
 
-def as_journal(events: DataFrame) -> DataFrame:
+def as_journal(events: DataFrame, *more: Column) -> DataFrame:
     started = F.col("event_type") != "purchase"
     return events.select(
         "user_id",
@@ -162,6 +162,7 @@ def as_journal(events: DataFrame) -> DataFrame:
             ),
         ).alias("expected"),
         (~((F.col("event_type") == "error") & (F.col("value") > 250))).alias("ok"),
+        *more,
     )
 
 

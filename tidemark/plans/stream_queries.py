@@ -117,7 +117,7 @@ def stream_keyed_state(spark, folder):
     out, checkpoint = folders(spark, "stream_keyed_state")
     with ks.state_settings(spark):
         for events in arriving_parts(spark, "stream_keyed_state", table(spark, folder, "events"), "event_id"):
-            journal = sc.as_journal(events).withColumn("ts", utc_timestamp(events["ts"]))
+            journal = sc.as_journal(events, utc_timestamp(F.col("ts")).alias("ts"))
             update_available(ks.keyed_live_state(journal, ["user_id"], "1 day"), out, checkpoint)
     return ks.stored_words(spark, checkpoint, ["user_id"]).select(
         "user_id",

@@ -184,17 +184,17 @@ WITH bodies AS (SELECT doc_id AS file_id, encode(text) AS body, strlen(text) AS
 leaves AS (
   SELECT file_id, size, i, least(size - i * {LEAF}, {LEAF}) AS n, sha256(array_slice(body, i * {LEAF} + 1, least((i + 1) * {LEAF}, size))) AS hash
   FROM (SELECT *, unnest(generate_series(0, greatest((size + {LEAF - 1}) // {LEAF} - 1, 0))) AS i FROM bodies)
-), n0 AS (SELECT file_id, i AS at, hash FROM leaves WHERE n = {LEAF})
+), n0 AS (SELECT file_id, i AS pos, hash FROM leaves WHERE n = {LEAF})
 """ + "".join(
-    f""", g{k} AS (SELECT file_id, at // {FAN} AS at, count(*) AS c, string_agg(hash, '' ORDER BY at) AS below FROM n{k} GROUP BY 1, 2),
-n{k + 1} AS (SELECT file_id, at, sha256(below) AS hash FROM g{k} WHERE c = {FAN}),
-p{k} AS (SELECT n.file_id, {k} AS level, n.at, n.hash FROM n{k} n JOIN g{k} g ON n.file_id = g.file_id AND n.at // {FAN} = g.at WHERE c < {FAN})
+    f""", g{k} AS (SELECT file_id, pos // {FAN} AS pos, count(*) AS c, string_agg(hash, '' ORDER BY pos) AS below FROM n{k} GROUP BY 1, 2),
+n{k + 1} AS (SELECT file_id, pos, sha256(below) AS hash FROM g{k} WHERE c = {FAN}),
+p{k} AS (SELECT n.file_id, {k} AS level, n.pos, n.hash FROM n{k} n JOIN g{k} g ON n.file_id = g.file_id AND n.pos // {FAN} = g.pos WHERE c < {FAN})
 """
     for k in range(LEVELS)
-) + ", peaks AS (SELECT file_id, -1 AS level, i AS at, hash FROM leaves WHERE n < " + str(LEAF) + "".join(
+) + ", peaks AS (SELECT file_id, -1 AS level, i AS pos, hash FROM leaves WHERE n < " + str(LEAF) + "".join(
     f" UNION ALL SELECT * FROM p{k}" for k in range(LEVELS)
 ) + """)
-SELECT file_id, any_value(size)::BIGINT AS size, sha256(string_agg(level || ':' || hash, ',' ORDER BY level DESC, at)) AS hash
+SELECT file_id, any_value(size)::BIGINT AS size, sha256(string_agg(level || ':' || hash, ',' ORDER BY level DESC, pos)) AS hash
 FROM peaks JOIN bodies USING (file_id) GROUP BY 1
 """
 
