@@ -24,7 +24,7 @@ UNKNOWN = "und"
 #: The bound on the candidates in one trie, and so on what is broadcast; more make more tries.
 SHARD = 1 << 17
 #: Bytes of text cut into words at once, words remembered by a task, and counts held before they are handed on.
-SLICE, REMEMBERED, HELD = 4 << 20, 300_000, 1 << 21
+SLICE, REMEMBERED, HELD = 2 << 20, 200_000, 1 << 19
 #: Bits of the filter for phrases that may go on. When full it lets all through, and counts stay exact.
 BITS = 1 << 23
 
