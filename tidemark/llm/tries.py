@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Free places looked at in one step while a node's children are placed, and steps before the end is taken.
-WINDOW, STEPS = 256, 16
+#: Places looked at in one step while a node's children are placed.
+WINDOW = 1024
 
 
 @dataclass
@@ -29,7 +29,7 @@ class Trie:
             further = self.base[state] + symbol
             on = (symbol > 0) & (self.check[further] == state)
             at, state = at[on], further[on]
-        return at, self.leaf[state]
+        return at, self.leaf[state].astype(np.int64)
 
 
 class _Places:
@@ -40,6 +40,7 @@ class _Places:
         self.taken = np.zeros(4 * self.reach + 1024, bool)
         self.taken[0] = True
         self.low, self.end = 0, 1
+        self.begin: dict[int, int] = {}
 
     def _room(self, upto: int) -> None:
         if upto >= len(self.taken):
@@ -50,21 +51,27 @@ class _Places:
         self.end = max(self.end, int(places.max()) + 1)
 
     def fit(self, symbols: np.ndarray) -> int:
-        """The first base found under which all ``symbols`` fall on free places."""
+        """The first base found under which all ``symbols`` fall on free places.
+
+        Nodes come with most children first. Where one of as many children has found no room, the next
+        doesn't look again; one of half as many begins anew and fills what was left.
+        """
         self._room(self.end + WINDOW + 2 * self.reach)
         while self.taken[self.low]:
             self.low += 1
-        start = max(self.low, int(symbols[0]) + 1)
-        for step in range(STEPS + 1):
-            if step == STEPS:
-                start = max(start, self.end + int(symbols[0]))
+        kind = len(symbols).bit_length()
+        start = max(self.low, self.begin.get(kind, 0), int(symbols[0]) + 1)
+        while True:
             self._room(start + WINDOW + 2 * self.reach)
             bases = np.flatnonzero(~self.taken[start : start + WINDOW]) + start - symbols[0]
-            clear = ~self.taken[bases[:, None] + symbols[None, :]].any(axis=1)
-            if clear.any():
-                return int(bases[clear.argmax()])
+            for symbol in symbols[1:]:
+                bases = bases[~self.taken[bases + symbol]]
+                if not len(bases):
+                    break
+            else:
+                self.begin[kind] = start
+                return int(bases[0])
             start += WINDOW
-        raise AssertionError("places behind the end are free")
 
     def singles(self, symbols: np.ndarray) -> np.ndarray:
         """A free place for each symbol, behind the symbol itself, so that its base is above 0."""
@@ -104,7 +111,7 @@ def build(keys: np.ndarray) -> Trie:
         edges.append((parents, symbols, placed))
         slot = placed[np.cumsum(opens) - 1] if rows else slot
     size = places.end + places.reach + 1
-    base, check, leaf = np.zeros(size, np.int64), np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+    base, check, leaf = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
     for parents, symbols, placed in edges:
         base[parents] = placed - symbols
         check[placed] = parents
