@@ -12,7 +12,8 @@ def intact(journal: DataFrame, journal_key: list[str] | None = None) -> DataFram
     """Records before the first bad one of their journal; the rest is ignored.
 
     The bad records are reduced to one number per journal first (a partial aggregate, so a hot
-    journal sends a single row per task), and only journals that have one take part in the join.
+    journal sends a single row per task). With keys every record meets the cuts of its journal; they
+    are few, and Spark broadcasts them where they are within the session's threshold.
     """
     keys = journal_key or []
     torn = journal.filter(~F.coalesce(F.col("ok"), F.lit(False)))

@@ -294,3 +294,57 @@ def run_counters(spark, folder):
     """What a run says it moved, counted while it wrote its verdicts."""
     _, result, _ = run_pages(spark, folder)
     return sync.report(result, 1000).select("files", "bytes", "wire_bytes")
+
+
+@query(SQL_PAGES + "SELECT count(*) > 0 AS refused, count(*) AS rejects FROM judged WHERE refused")
+def strict_gate(spark, folder):
+    """A strict run is refused for its bad paths before anything is written; another one tells them."""
+    source = page_objects(spark, folder).drop("drift")
+    rejects = sync.plan_sync(source, source.limit(0)).rejects.agg(F.count(F.lit(1)).alias("rejects"))
+    try:
+        sync.plan_sync(source, source.limit(0), options=SyncOptions(strict=True))
+        refused = False
+    except sync.PathRefused:
+        refused = True
+    return rejects.select(F.lit(refused).alias("refused"), "rejects")
+
+
+@query(
+    SQL_DOCUMENTS
+    + """
+SELECT s.path, CASE WHEN t.path IS NULL THEN 'missing' WHEN t.size <> s.size THEN 'other size' WHEN t.mtime = 0 THEN 'unknown mtime'
+  WHEN t.mtime = s.mtime THEN 'same mtime' ELSE 'other mtime' END AS reason
+FROM source_docs s LEFT JOIN target_docs t USING (path)
+"""
+)
+def unhashed_plan(spark, folder):
+    """What is decided without hashing: sizes and dates alone, and no body is read for more than its size."""
+    plan = sync.plan_sync(
+        sc.source_documents(spark, folder).drop("doc_id"),
+        sc.target_documents(spark, folder),
+        options=SyncOptions(dry_run=True, prehash=False),
+    )
+    return plan.decisions.select(F.array_join("path", "/").alias("path"), "reason")
+
+
+@query(SQL_PAGES + "SELECT path, sha256(html) AS hash, 2 AS attempts FROM judged WHERE NOT refused AND drift <> '0'")
+def retried_sync(spark, folder):
+    """Some pages vanish between the plan of the first attempt and its run. The second one lists the
+    source again, so it doesn't offer them any more, and skips what has arrived."""
+    pages = page_objects(spark, folder)
+    before, after = pages.drop("drift"), pages.filter("drift <> '0'").drop("drift")
+    dest, tries = shared_folder(spark, "retried"), []
+
+    def attempt(n):
+        tries.append(n)
+        listed = before if n == 1 else after
+        plan = sync.plan_sync(listed, stores.read_current(spark, dest, before.schema))
+        return sync.require_complete(sync.apply_sync(plan, after, None, dest))
+
+    sync.sync_with_retry(attempt, sleep=lambda seconds: None)
+    published = stores.read_current(spark, dest, before.schema)
+    return published.select(
+        F.array_join("path", "/").alias("path"),
+        fingerprint(F.col("body")).alias("hash"),
+        F.lit(len(tries)).alias("attempts"),
+    )

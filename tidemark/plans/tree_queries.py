@@ -13,7 +13,7 @@ from tidemark.plans import scenarios as sc, trees
 from tidemark.plans.registry import query
 from tidemark.plans.scenarios import SQL_DOCUMENTS
 from tidemark.schema import EXPECTED, PARTIAL_SUFFIX
-from tidemark.sources import copies, datasource, stores
+from tidemark.sources import cache_runs, copies, datasource, stores
 from tidemark.sources.objects import inventory_objects
 from tidemark.sources.shared import settle, shared_folder
 from tidemark.sources.tree import fingerprint_files, inventory
@@ -281,3 +281,51 @@ def tree_apply(spark, folder):
     held = trees.with_hashes(listed.filter(~left_over), listed.filter(~left_over))
     sent = result.transferred.select("path", "sent")
     return held.join(sent, "path", "left").select(display_path(F.col("path")).alias("path"), "size", "hash", "sent")
+
+
+@query(
+    """
+SELECT source || '/' || lang || '/' || doc_id AS path, CAST(strlen(text) AS BIGINT) AS size, doc_id AS mtime,
+       sha256(text || CASE WHEN doc_id % 3 = 0 THEN '+' ELSE '' END) AS hash
+FROM documents WHERE source = (SELECT min(source) FROM documents)
+"""
+)
+def cache_lookup(spark, folder):
+    """Cached hashes of one source's documents, from runs that were merged and of which one knew better."""
+    docs = table(spark, folder, "documents")
+    root = shared_folder(spark, "cache-runs")
+    for run in range(5):
+        mine = docs.filter((F.col("doc_id") % 4 == run) if run < 4 else (F.col("doc_id") % 3 == 0))
+        added = mine.select(
+            F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"),
+            byte_size(F.col("text")).alias("size"),
+            F.col("doc_id").alias("mtime"),
+            fingerprint(F.concat("text", F.lit("+" if run == 4 else ""))).alias("hash"),
+        )
+        cache_runs.save_run(added, root, f"run-{run}", rows_per_file=2_000)
+    first = docs.agg(F.min("source")).scalar()
+    wanted = docs.filter(F.col("source") == first)
+    return cache_runs.lookup(wanted.select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")), root)
+
+
+@query(
+    SQL_DOCUMENTS
+    + "SELECT path, size, CASE WHEN substr(h, 1, 1) <> '0' THEN sha256(sha256(sha256(body))) END AS hash FROM source_docs"
+)
+def vanished_files(spark, folder):
+    """Files that go between the listing and the reading have no digest; the others aren't held up."""
+    root = copies.on_mount(shared_folder(spark, "vanished"))
+    os.makedirs(root)
+    write_objects(sc.source_documents(spark, folder), root)
+    listed = settle(inventory(spark, root), "vanished-listing")
+
+    def remove(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            for row in rows:
+                os.remove(copies.place(root, row["path"]))
+            yield from copies.in_batches(({"path": row["path"], "done": True} for row in rows), copies.DONE_ARROW)
+
+    going = listed.filter(sc.digit(1, F.get("path", F.lit(2))) == "0").select("path")
+    settle(going.mapInArrow(remove, copies.DONE), "vanished-removed")
+    return trees.with_hashes(listed, listed).select(display_path(F.col("path")).alias("path"), "size", "hash")
