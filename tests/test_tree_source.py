@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.plans import tree_queries
 from tidemark.schema import STATE_DIR
 from tidemark.sources import datasource, objects, tree
 from tests.plain import plain_tree
@@ -132,3 +133,38 @@ def test_a_task_run_again_returns_the_same(root, tmp_path):
     assert ["/".join(r["path"]) for b in reader.read(again) for r in b.to_pylist()] == ["a/later"]
     with pytest.raises(ValueError, match="listing"):
         datasource.TreeStream({"path": root})
+
+
+def test_many_folders_are_few_tasks(spark, root, tmp_path):
+    datasource.register(spark)
+    for i in range(40):
+        os.makedirs(f"{root}/many/{i}")
+        with open(f"{root}/many/{i}/x", "wb"):
+            pass
+    options = {"path": root, "depth": 2, "tasks": 7}
+    got = spark.read.format("tidemark_tree").options(**options).load()
+    assert got.rdd.getNumPartitions() == 7
+    facts = ("size", "mtime", "mode", "location", "utf8")
+    assert rows(got, *facts) == rows(tree.inventory(spark, root), *facts)
+    reader = datasource.TreeStream({**options, "listing": str(tmp_path / "seen")})
+    parts = reader.partitions({"listing": 0}, {"listing": 1})
+    names = sorted("/".join(r["path"]) for p in parts for b in reader.read(p) for r in b.to_pylist())
+    assert len(parts) == 7 and names == [r[0] for r in rows(got)]
+
+
+def test_documents_are_written_as_spark_names_them(spark, tmp_path):
+    sources = ["plain", None, "", "a/b", "x=1", "50%", "é", "[q]", "it's", "c^d{"]
+    docs = [(250 * k + i, source, text) for k in (0, 1, 2) for i, source in enumerate(sources) for text in ("one", None)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    root, plainly = str(tmp_path / "root"), str(tmp_path / "plainly")
+    for later in (False, True):
+        tree_queries.write_part(spark, str(tmp_path), root, later)
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet")).selectExpr("source", "doc_id div 250 AS part", "text")
+    docs.filter("part % 2 = 0").coalesce(1).write.partitionBy("source", "part").text(plainly)
+    docs.filter("part % 2 = 1").coalesce(1).write.partitionBy("source", "part").text(f"{plainly}/.later")
+
+    def bodies(top):
+        listed = tree_queries.bodies_only(tree.inventory(spark, top)).select("path", "location").collect()
+        return sorted(("/".join(r.path[:-1]), sorted(open(r.location, "rb").read().split(b"\n"))) for r in listed)
+
+    assert bodies(root) == bodies(plainly) and len(bodies(root)) == 27

@@ -2,8 +2,9 @@
 
 ``register(spark)`` makes ``spark.read.format("tidemark_tree").option("path", root)`` and
 ``spark.readStream`` of the same known. Options: ``path``, a mount that every executor can reach or a URI; ``depth``, the
-level whose folders are listed as a whole, each by one task (those above are listed name by name;
-default 1); and for a stream ``listing``, a folder on a mount where what was seen is kept.
+level whose folders are listed as a whole (those above are listed name by name; default 1);
+``tasks``, into how many tasks the folders are dealt out where there are more of them (default 256);
+and for a stream ``listing``, a folder on a mount where what was seen is kept.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from tidemark.sources import objects
 from tidemark.sources.tree import ARROW, LISTED, _children, _facts, on_mount
 
 DEPTH = 1
+TASKS = 256
 
 
 class Folder(InputPartition):
@@ -32,6 +34,19 @@ class Folder(InputPartition):
     def __init__(self, name: str, whole: bool, listing: int | None = None):
         self.name, self.whole, self.listing = name, whole, listing
 
+    def folders(self) -> list[Folder]:
+        return [self]
+
+
+class Folders(InputPartition):
+    """Folders that one task lists one after another."""
+
+    def __init__(self, some: list[Folder]):
+        self.some = [(each.name, each.whole, each.listing) for each in some]
+
+    def folders(self) -> list[Folder]:
+        return [Folder(*each) for each in self.some]
+
 
 class Mounted:
     """A tree on a mount. Names that aren't UTF-8 are shown with backslashes and marked."""
@@ -100,8 +115,14 @@ def tree_of(options: dict) -> Mounted | Stored:
     return Stored(root) if "://" in root else Mounted(root)
 
 
-def partitions_of(options: dict, listing: int | None = None) -> list[Folder]:
-    """The folders to list: their number is that of folders down to ``depth``, and no file is named here."""
+def partitions_of(options: dict, listing: int | None = None) -> list[Folder] | list[Folders]:
+    """The folders to list: those down to ``depth``, a task for each up to ``tasks`` and dealt out in turn
+    where there are more, so that the tasks don't grow with the tree. No file is named here."""
+    found, tasks = folders_of(options, listing), int(options.get("tasks", TASKS))
+    return found if len(found) <= tasks else [Folders(found[i::tasks]) for i in range(tasks)]
+
+
+def folders_of(options: dict, listing: int | None) -> list[Folder]:
     tree, depth = tree_of(options), int(options.get("depth", DEPTH))
     level, found = [""], []
     for _ in range(depth):
@@ -117,8 +138,10 @@ class TreeReader(DataSourceReader):
     def partitions(self):
         return partitions_of(self.options)
 
-    def read(self, partition: Folder):
-        yield from objects.in_batches(tree_of(self.options).files(partition.name, partition.whole), ARROW)
+    def read(self, partition: Folder | Folders):
+        tree = tree_of(self.options)
+        files = (row for each in partition.folders() for row in tree.files(each.name, each.whole))
+        yield from objects.in_batches(files, ARROW)
 
 
 class TreeStream(DataSourceStreamReader):
@@ -149,7 +172,11 @@ class TreeStream(DataSourceStreamReader):
     def _shard(self, listing: int, name: str) -> str:
         return os.path.join(self.seen, str(listing), hashlib.sha256(os.fsencode(name)).hexdigest() + ".parquet")
 
-    def read(self, partition: Folder):
+    def read(self, partition: Folder | Folders):
+        for each in partition.folders():
+            yield from self._fresh(each)
+
+    def _fresh(self, partition: Folder):
         place = self._shard(partition.listing, partition.name)
         if not os.path.exists(place):
             os.makedirs(os.path.dirname(place), exist_ok=True)
