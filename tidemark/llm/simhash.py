@@ -32,11 +32,16 @@ def fingerprint(text: str | None) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))))
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for start in range(0, len(shingles), 1 << 14):
-        hashes = np.array([digest(x, SEED) for x in shingles[start : start + (1 << 14)]], "<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * ones > len(shingles)).astype(np.uint8)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half of the unsigned hashes, as a signed number."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 14):
+        part = hashes[start : start + (1 << 14)].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = (2 * ones > len(hashes)).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view("<i8")[0])
 
 
