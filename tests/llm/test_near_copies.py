@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tests.llm import plain
-from tidemark.llm import nearcopies
+from tidemark.llm import nearcopies, simhash
 from tidemark.sources.shared import settle
 
 
@@ -66,3 +66,48 @@ def test_fingerprints_propose_pairs_without_bands(spark):
     got = {tuple(sorted(p)) for p in pairs.collect()}
     assert got and got <= {tuple(sorted((node[i], node[k]))) for i, k in near if jaccard(shingled(texts[i]), shingled(texts[k])) >= 0.8}
     assert len({prints[x] for pair in near for x in pair}) - 1 <= len(got)
+
+
+def _crowd(spark):
+    """Texts around one template, in pairs: alike within a pair, below 0.8 across; and one apart."""
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(30):
+        one = words[:40] + [f"x{i}y{k}" for k in range(9)] + words[40:]
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(one + [f"z{i}"]))]
+    rows.append((100, "quite another text of several words"))
+    sets = {number: shingled(text) for number, text in rows}
+    expected = plain.classes(sets, lambda a, b: jaccard(a, b) >= 0.8)
+    assert len(set(expected.values())) == 31
+    assert sum(jaccard(sets[0], sets[i]) > 0.7 for i in range(60)) == 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    return docs, settle(nearcopies.marked(docs), "marks"), sorted(set(expected.values()))
+
+
+def _kept(docs, marks):
+    rooted = marks.join(nearcopies.roots_of(docs, marks), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sorted(r.least for r in rooted.groupBy("root").agg(F.min("doc_id").alias("least")).collect())
+
+
+def test_no_link_is_lost_in_a_crowded_band(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "PAIRED", 4)
+    monkeypatch.setattr(nearcopies, "NEXT", 1)
+    docs, marks, expected = _crowd(spark)
+    # All in one band, no fingerprints within two bits of each other.
+    marks = marks.withColumns({"keys": F.array(F.lit(7).cast("long")), "fingerprint": F.xxhash64("node")})
+    assert _kept(docs, marks) == expected
+
+
+def test_no_link_is_lost_between_nodes_of_near_fingerprints(spark):
+    docs, marks, expected = _crowd(spark)
+    # Two fingerprints a bit apart, each of half the nodes, and no bands.
+    fingerprint = F.when(F.col("doc_id") % 2 == 0, 1).otherwise(3).cast("long")
+    marks = marks.withColumns({"keys": F.array().cast("array<long>"), "fingerprint": fingerprint})
+    assert _kept(docs, marks) == expected
+
+
+def test_all_values_within_two_bits_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRED", 4)
+    values = [0, *(1 << i for i in range(12)), *(3 << i for i in range(12)), 1 << 60, 7 << 40]
+    got = simhash.links(spark.createDataFrame([(v,) for v in values], "fingerprint long")).distinct()
+    assert {tuple(sorted(r)) for r in got.collect()} == {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 2}

@@ -88,7 +88,7 @@ def _masked_keys(value: Column, choice: Column) -> Column:
 
 
 def links(values: DataFrame) -> DataFrame:
-    """``a, b`` edges that join all distinct ``fingerprint`` values within two bits.
+    """``a, b`` edges of all distinct ``fingerprint`` values within two bits; an edge may come repeatedly.
 
     Values meet where three of five blocks agree. Small groups compare their pairs. In a large
     group each value also emits itself without every two open bits: at most four values share such
@@ -112,7 +112,8 @@ def links(values: DataFrame) -> DataFrame:
         .groupBy("mask", "rest")
         .agg(F.collect_set("fingerprint").alias("within"))
         .filter(F.size("within") > 1)
-        .select(F.explode("within").alias("a"), F.array_min("within").alias("b"))
+        .select("within", F.explode("within").alias("a"))
+        .select("a", F.explode(F.filter("within", lambda other: other > F.col("a"))).alias("b"))
     )
     return pairs.union(masked).filter("a <> b")
 
