@@ -140,3 +140,19 @@ def test_tries_accept_their_keys_and_no_others(depth):
     at, leaves = trie.accepted(text)
     expected = [(i, number[w]) for i in range(len(text) - depth + 1) if (w := tuple(text[i : i + depth].tolist())) in number]
     assert list(zip(at.tolist(), leaves.tolist())) == expected
+
+
+@pytest.mark.parametrize("shard", [1, 40])
+def test_there_is_one_walk_a_length_however_many_phrases(odd, table, monkeypatch, shard):
+    made, real = [], collocations.shard_of
+    monkeypatch.setattr(collocations, "shard_of", lambda *args: made.append(len(args[0])) or real(*args))
+    assert got(collocations.collocations(table, least=3, shard=shard)) == plain(odd, 3)
+    assert len(made) < collocations.WORDS and max(made) <= shard
+
+
+def test_phrases_outside_the_trie_are_numbered_by_their_words():
+    seen = collocations._Seen("en", collocations.shard_of([("en", b"q")], np.zeros(1, np.uint32)))
+    at = seen.numbered(b"a b a b c a b c".split())
+    first = seen.spelled([at[:6], at[1:7], at[2:8]])
+    assert [list(seen.heads)[i - 1] for i in first] == [b"a b a", b"b a b", b"a b c", b"b c a", b"c a b", b"a b c"]
+    assert seen.spelled([at[2:3], at[3:4], at[4:5]]) == first[2]

@@ -1,4 +1,4 @@
-"""Phrase collocations: double-array tries of Apriori-safe candidates, walked from all positions at once."""
+"""Phrase collocations: double-array tries of frequent phrases, walked from all positions at once."""
 
 from __future__ import annotations
 
@@ -21,12 +21,14 @@ WORDS = 5
 #: Phrases reported of each language.
 TOP = 2000
 UNKNOWN = "und"
-#: The bound on the candidates in one trie, and so on what is broadcast; more make more tries.
+#: The bound on the phrases in a trie, and so on what is broadcast; the most frequent go there, the others are spelled.
 SHARD = 1 << 17
+#: Phrases are taken as equally frequent within so many parts of a doubling.
+PARTS = 16
 #: Bytes of text cut into words at once, words remembered by a task, and counts held before they are handed on.
 SLICE, REMEMBERED, HELD = 4 << 20, 300_000, 1 << 20
 #: Bits of the filter for phrases that may go on. When full it lets all through, and counts stay exact.
-BITS = 1 << 23
+BITS = 1 << 26
 
 BREAK = b"\n"
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -121,20 +123,23 @@ def phrase_filter(phrases: DataFrame) -> np.ndarray:
 
 @dataclass
 class Shard:
-    """The phrases of one trie in order, the symbols of their words, and what lets phrases go on."""
+    """The phrases of the trie in order, the symbols of their words, and what lets phrases go on."""
 
     phrases: list[tuple[str, bytes]]
     symbols: dict[str, dict[bytes, int]]
     trie: Trie
-    filter: np.ndarray | None
+    filter: np.ndarray
 
 
-def shard_of(phrases: list[tuple[str, bytes]], going_on: np.ndarray | None) -> Shard:
-    """Words that stand in more phrases have smaller symbols, so that children lie close together."""
+def shard_of(phrases: list[tuple[str, bytes]], going_on: np.ndarray, depth: int = 1) -> Shard:
+    """Words that stand in more phrases have smaller symbols, so that children lie close together.
+
+    ``depth`` is the number of words where there is no phrase.
+    """
     cut = [(lang, phrase.split(b" ")) for lang, phrase in phrases]
     often = Counter((lang, word) for lang, words in cut for word in words)
     number = {key: i for i, (key, _) in enumerate(sorted(often.items(), key=lambda x: (-x[1], x[0])), 1)}
-    keys = np.array([[number[lang, word] for word in words] for lang, words in cut], np.int64)
+    keys = np.array([[number[lang, word] for word in words] for lang, words in cut] or np.zeros((0, depth)), np.int64)
     order = np.lexsort(keys.T[::-1])
     symbols: dict[str, dict[bytes, int]] = {}
     for (lang, word), symbol in number.items():
@@ -158,6 +163,7 @@ class _Seen:
     words: list[bytes] = field(default_factory=list)
     symbols: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    heads: _Ids = field(default_factory=_Ids)
     found: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     held: int = 0
 
@@ -171,8 +177,19 @@ class _Seen:
             self.hashes = np.append(self.hashes, np.array([_word_hash(self.lang, w) for w in fresh], np.uint64))
         return at
 
-    def add(self, leaves: np.ndarray, following: np.ndarray) -> None:
-        key, n = np.unique(leaves << 32 | following, return_counts=True)
+    def spelled(self, words: list[np.ndarray]) -> np.ndarray:
+        """The numbers of phrases that are not in the trie, by the ids of their first, second, ... words."""
+        at, code = np.unique(words[0], return_inverse=True)
+        rows = [at]
+        for more in words[1:]:
+            pairs, code = np.unique(code << 32 | more, return_inverse=True)
+            rows = [row[pairs >> 32] for row in rows] + [pairs & 0xFFFFFFFF]
+        phrases = zip(*([self.words[i] for i in row.tolist()] for row in rows))
+        numbers = [self.heads[b" ".join(phrase)] for phrase in phrases]
+        return len(self.shard.phrases) + np.array(numbers, np.int64)[code]
+
+    def add(self, phrases: np.ndarray, following: np.ndarray) -> None:
+        key, n = np.unique(phrases << 32 | following, return_counts=True)
         self.found.append((key, n))
         self.held += len(key)
         if self.held > HELD:
@@ -188,39 +205,43 @@ class _Seen:
         if self.found:
             key, n = self.merged()
             words = pa.array(self.words, pa.binary()).take(pa.array(key & 0xFFFFFFFF))
-            yield _counts(key >> 32, words, n)
-
-
-def _counts(leaves: np.ndarray, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), words, pa.array(n, pa.int64())], ["leaf", "word", "n"])
+            phrases, inside = key >> 32, len(self.shard.phrases)
+            spelled = [self.lang.encode() + BREAK + head for head in self.heads]
+            heads = pa.array(spelled, pa.binary()).take(pa.array(phrases - inside, mask=phrases < inside))
+            leaves = pa.array(phrases, pa.int64(), mask=phrases >= inside)
+            yield pa.RecordBatch.from_arrays([leaves, heads, words, pa.array(n, pa.int64())], ["leaf", "head", "word", "n"])
 
 
 def _walker(shared):
-    """Counts of a shard's phrases, and of each word that goes on from one to another that may count."""
+    """``leaf, head, word, n`` of each word that a phrase goes on with to one that may count: of the trie's
+    phrases with their number, of others with their language and words."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: Shard = shared.value
         depth = shard.trie.depth
-        totals = np.zeros(len(shard.phrases), np.int64)
         seen: dict[str, _Seen] = {}
         for lang, found in _slices(batches):
             here = seen.setdefault(lang, _Seen(lang, shard))
             at = here.numbered(found)
+            ended = np.append(at, np.full(depth + 1, here.ids[BREAK]))
+            # The words up to the last but one, and from the second on, are phrases that may count.
+            mixed = _joined(here.hashes[ended], depth)[: len(at) + 1].astype(np.int64)
+            counts = (shard.filter[mixed >> 5] >> (mixed & 31).astype(np.uint32) & 1).astype(bool)
+            breaks = np.append(0, np.cumsum(ended == here.ids[BREAK]))
+            whole = breaks[depth + 1 :][: len(at)] == breaks[: len(at)]
+            goes_on = counts[:-1] & counts[1:] & whole
+            phrase = np.full(len(at), -1)
             begin, leaves = shard.trie.accepted(here.symbols[at])
-            totals += np.bincount(leaves, minlength=len(totals))
-            if shard.filter is not None and len(begin):
-                # The words from the second on, and one more, are a phrase that may count.
-                ended = np.append(at, np.full(depth + 1, here.ids[BREAK]))
-                mixed = _joined(here.hashes[ended], depth)[begin + 1].astype(np.int64)
-                goes_on = (shard.filter[mixed >> 5] >> (mixed & 31).astype(np.uint32) & 1).astype(bool)
-                goes_on &= ended[begin + depth] != here.ids[BREAK]
-                here.add(leaves[goes_on], ended[begin + depth][goes_on])
-            if len(here.ids) > REMEMBERED or here.held > HELD:
+            phrase[begin] = leaves
+            rest = np.flatnonzero(goes_on & (phrase < 0))
+            if len(rest):
+                phrase[rest] = here.spelled([ended[rest + k] for k in range(depth)])
+            goes_on = np.flatnonzero(goes_on)
+            here.add(phrase[goes_on], ended[goes_on + depth])
+            if max(len(here.ids), len(here.heads)) > REMEMBERED or here.held > HELD:
                 yield from seen.pop(lang).rows()
         for here in seen.values():
             yield from here.rows()
-        at = np.flatnonzero(totals)
-        yield _counts(at, pa.nulls(len(at), pa.binary()), totals[at])
 
     return walk
 
@@ -229,56 +250,65 @@ def _namer(shared):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = shared.value.phrases
         for batch in batches:
-            of = [phrases[i] for i in batch.column(0).to_pylist()]
-            langs, names = pa.array([x[0] for x in of], pa.string()), pa.array([x[1] for x in of], pa.binary())
-            yield pa.RecordBatch.from_arrays([langs, names, batch.column(1), batch.column(2)], ["lang", "phrase", "word", "f"])
+            leaves, heads, words = (batch.column(i).to_pylist() for i in range(3))
+            langs, names = [], []
+            for leaf, head, word in zip(leaves, heads, words):
+                if leaf is None:
+                    lang, first = head.rsplit(BREAK, 1)
+                    lang = lang.decode()
+                else:
+                    lang, first = phrases[leaf]
+                langs.append(lang)
+                names.append(first + b" " + word)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.binary()), batch.column(3)], ["lang", "phrase", "f"])
 
     return name
 
 
-def _in_shards(phrases: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """The phrases with a shard of at most ``size``: one if all fit, else by a hash, filled to nine tenths."""
-    total = phrases.count()
-    n = 1 if 0 < total <= size else -(-10 * total // (9 * size))
-    while n:
-        dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("lang", "phrase"), F.lit(n)))
-        if dealt.groupBy("shard").count().agg(F.max("count")).first()[0] <= size:
-            return dealt, n
-        n *= 2
-    return phrases.withColumn("shard", F.lit(0)), 0
-
-
-def _walked(spark: SparkSession, texts: DataFrame, phrases: DataFrame, last: bool, least: int, size: int) -> DataFrame | None:
-    """``lang, phrase, word, f``: how often each phrase stands in the texts, or goes on with a word."""
-    dealt, n = _in_shards(phrases, size)
-    going_on = None if last or not n else phrase_filter(phrases)
-    done = None
-    for number in range(n):
-        rows = dealt.filter(F.col("shard") == number).select("lang", "phrase").toArrow()
-        listed = sorted(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist()))
-        if not listed:
-            continue
-        shared = spark.sparkContext.broadcast(shard_of(listed, going_on))
-        counted = (
-            texts.mapInArrow(_walker(shared), "leaf long, word binary, n long")
-            .groupBy("leaf", "word")
-            .agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= least)
-        )
-        named = settle(counted.mapInArrow(_namer(shared), "lang string, phrase binary, word binary, f long"), "phrases")
-        shared.destroy()
-        done = named if done is None else done.unionByName(named)
-    return done
+def _most_frequent(phrases: DataFrame, size: int) -> tuple[list[tuple[str, bytes]], int]:
+    """At most ``size`` phrases, the most frequent ones, in order; and how many there are in all."""
+    step = F.floor(F.log2(F.col("f")) * PARTS)
+    counts = sorted(((r.step, r.n) for r in phrases.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    room, above = size, None
+    for at, n in counts:
+        if n > room:
+            break
+        room, above = room - n, at
+    total = sum(n for _, n in counts)
+    if above is None:
+        return [], total
+    rows = phrases.filter(step >= above).select("lang", "phrase").toArrow()
+    return sorted(zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist())), total
+
+
+def _longer(spark: SparkSession, texts: DataFrame, phrases: DataFrame, words: int, least: int, size: int) -> DataFrame | None:
+    """``lang, phrase, f``: what phrases of so many words go on to, a word longer, where it occurs often enough."""
+    listed, total = _most_frequent(phrases, size)
+    if not total:
+        return None
+    shared = spark.sparkContext.broadcast(shard_of(listed, phrase_filter(phrases), words))
+    counted = (
+        texts.mapInArrow(_walker(shared), "leaf long, head binary, word binary, n long")
+        .groupBy("leaf", "head", "word")
+        .agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= least)
+    )
+    named = settle(counted.mapInArrow(_namer(shared), "lang string, phrase binary, f long"), "phrases")
+    shared.destroy()
+    return named
 
 
 def phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``lang, n`` for all words, and ``lang, phrase, size, f`` for all phrases of up to ``words`` words
     that occur ``least`` times.
 
-    Texts are walked once for the words and once per length and trie. The walk with the frequent
-    phrases of one length counts them, and finds what they go on with; what does so often enough
-    are the next candidates, so each has only frequent parts. A trie holds at most ``shard``
-    phrases, so what is broadcast doesn't grow with the texts; counts are summed over all tasks.
+    Texts are walked once for the words and once per length, however many phrases there are. The walk
+    with the frequent phrases of one length finds what they go on with; what does so often enough are
+    the frequent phrases of the next, with their counts, so each has only frequent parts. The trie holds
+    at most ``shard`` of the phrases, the most frequent; others are known from a filter of fixed size,
+    spelled, and numbered where they stand. It lets through too many, never too few, and those that are
+    not frequent go on with nothing that is. So what is broadcast doesn't grow with the texts, nor does
+    the number of walks; counts are summed over all tasks.
     A null text is empty, a null lang is ``und``, and repeated rows count again. No rows give none.
     """
     spark = docs.sparkSession
@@ -289,14 +319,11 @@ def phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, shard: int
     kept = settle(counted.filter((F.col("n") >= least) | F.col("word").isNull()), "words")
     totals = kept.filter("word is null").select("lang", "n")
     found = [kept.filter(F.col("word").isNotNull() & (F.col("n") >= least)).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("f"))]
-    candidates = found[0]
-    for size in range(1, words + 1):
-        done = _walked(spark, texts, candidates, size == words, least, shard)
-        if done is None:
+    for size in range(1, words):
+        longer = _longer(spark, texts, found[-1], size, least, shard)
+        if longer is None:
             break
-        if size > 1:
-            found.append(done.filter("word is null").select("lang", "phrase", F.lit(size).alias("size"), "f"))
-        candidates = done.filter("word is not null").select("lang", F.concat("phrase", F.lit(b" "), "word").alias("phrase"))
+        found.append(longer.select("lang", "phrase", F.lit(size + 1).alias("size"), "f"))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
